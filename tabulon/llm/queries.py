@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op8_fingerprints
+from .packing import op6_packing
 from .simhash import op10_simhash
 from .suffixes import op5_suffix_dedup
 
@@ -9,6 +11,8 @@ from .suffixes import op5_suffix_dedup
 def queries() -> dict:
     return {
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_packing": op6_packing,
+        "op8_fingerprints": op8_fingerprints,
         "op10_simhash": op10_simhash,
     }
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, byte_batches, ranges, table, written
+from .common import binary_values, byte_batches, keyed, ranges, released, table, written
 
 GRAM = 32
 #: Bytes of text hashed at once, the most a shard's suffix array holds, and segments of one anchor in a shard.
@@ -436,12 +436,6 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     return out
 
 
-def released(spark) -> None:
-    """Lets Spark drop the shuffle files of finished jobs, whose results have been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _cutting(length: int, digest_only: bool) -> Column:
     kind = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>" if digest_only else "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
 
@@ -470,20 +464,6 @@ def _cutting(length: int, digest_only: bool) -> Column:
     return cut
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with rid, a unique long in the order of doc_id.
-
-    It is doc_id itself where that is unique and not null. Otherwise rows are numbered in the order
-    of doc_id (null last) and text, so rows that share a doc_id count as documents in that order.
-    """
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k"), F.countDistinct("doc_id").alias("d")).first()
-    if n["n"] == n["d"] == n["k"]:
-        return docs.withColumn("rid", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    parts = int(max(1, n["n"] // 50_000))
-    return written(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id()), "keyed")
-
-
 def cut_repeats(docs: DataFrame, length: int = 100, digest_only: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any more columns) with struct column ``cut`` (n_bytes, n_removed, n_spans, kept bytes or their sha256).
 
