@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .fingerprints import op8_fingerprints
+from .mixing import op1_mixing
 from .packing import op6_packing
 from .simhash import op10_simhash
 from .suffixes import op5_suffix_dedup
+from .urls import OP3_SQL, op3_url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
+        "op3_url_filter": op3_url_filter,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
         "op8_fingerprints": op8_fingerprints,
@@ -18,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
