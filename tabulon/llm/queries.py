@@ -5,8 +5,10 @@ from __future__ import annotations
 from .fingerprints import op8_fingerprints
 from .mixing import op1_mixing
 from .packing import op6_packing
+from .quality import op7_quality
 from .simhash import op10_simhash
 from .suffixes import op5_suffix_dedup
+from .toxicity import op9_toxicity
 from .urls import OP3_SQL, op3_url_filter
 
 
@@ -16,7 +18,9 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
         "op8_fingerprints": op8_fingerprints,
+        "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
     }
 
