@@ -12,7 +12,7 @@ the same document further left). Three steps find these strings without ever com
    array (Larsson-Sadakane refinement in numpy) and its common prefixes (Kasai), which give the
    classes of equal strings and the earliest of each.
 3. An anchor with too many segments for one shard is cut into several; the sorted class
-   representatives of its shards are dealt by range and merged run by run with binary search.
+   representatives of its shards are dealt by range of hash and merged run by run with binary search.
 """
 
 from __future__ import annotations
@@ -307,11 +307,11 @@ def _sharding(length: int):
     """Shards of whole anchors: what repeats in each, and for cut anchors the first strings as runs."""
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        whole = pa.Table.from_batches(parts)
-        key, part, cut, rid, place = (whole.column(c).to_numpy() for c in ("key", "part", "cut", "rid", "place"))
+        whole = pa.Table.from_batches(batches)
+        key, part, parts, rid, place = (whole.column(c).to_numpy() for c in ("key", "part", "parts", "rid", "place"))
         strings = whole.column("strings").to_numpy().astype(np.int64)
         data, bounds = binary_values(whole.column("segment"))
         by = np.lexsort((place, rid, part, key))
@@ -325,10 +325,10 @@ def _sharding(length: int):
             while to < len(heads) and total + sizes[to] <= SHARD_BYTES - 8:
                 total += sizes[to]
                 to += 1
-            yield from shard(by[heads[at] : ends[to - 1]], key, part, cut, rid, place, strings, data, bounds)
+            yield from shard(by[heads[at] : ends[to - 1]], key, part, parts, rid, place, strings, data, bounds)
             at = to
 
-    def shard(rows, key, part, cut, rid, place, strings, data, bounds):
+    def shard(rows, key, part, parts, rid, place, strings, data, bounds):
         sizes = (bounds[1:] - bounds[:-1])[rows]
         starts = np.cumsum(sizes + 1) - sizes - 1
         text = np.zeros(int((sizes + 1).sum()), np.uint8)
@@ -336,12 +336,24 @@ def _sharding(length: int):
         which, string, spot, own, own_string = repeated_strings(text, starts, strings[rows], rid[rows], place[rows], length)
         a = joined_runs(rid[rows][which], place[rows][which] + string, np.ones(len(which), np.int64))
         yield _found(a[0], a[1], a[2], np.zeros(len(a[0]), np.int64), np.zeros(len(a[0]), np.int64), None)
-        shared = cut[rows][own]
+        shared = parts[rows][own] > 0
         spot, own, own_string = spot[shared], own[shared], own_string[shared]
-        for lo in range(0, len(spot), 20_000):
-            s, o, w = spot[lo : lo + 20_000], own[lo : lo + 20_000], own_string[lo : lo + 20_000]
-            content = text[s[:, None] + np.arange(length)]
-            yield _found(rid[rows][o], place[rows][o] + w, np.ones(len(s), np.int64), key[rows][o], part[rows][o], content)
+        if not len(spot):
+            return
+        # sorted runs for the merge, one for each anchor, shard and range of hashes
+        content = text[spot[:, None] + np.arange(length)]
+        fold = np.zeros(len(spot), np.uint64)
+        for i in range(0, length, 7):
+            fold = _mixed(fold * np.uint64(31) + np.ascontiguousarray(np.pad(content[:, i : i + 7], ((0, 0), (0, 8 - min(7, length - i))))).view(np.uint64)[:, 0])
+        slot = (fold % parts[rows][own].astype(np.uint64)).astype(np.int64)
+        of = rows[own]
+        by = np.lexsort((slot, part[of], key[of]))
+        heads = np.flatnonzero(np.r_[True, (key[of][by][1:] != key[of][by][:-1]) | (part[of][by][1:] != part[of][by][:-1]) | (slot[by][1:] != slot[by][:-1])])
+        for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(by)]):
+            run_ = by[lo:hi]
+            packed = content[run_].tobytes() + rid[of[run_]].tobytes() + (place[of[run_]] + own_string[run_]).tobytes()
+            one = lambda x: np.array([x], np.int64)
+            yield _found(one(slot[run_[0]]), one(0), one(len(run_)), key[of[run_[:1]]], part[of[run_[:1]]], packed)
 
     return run
 
@@ -349,12 +361,8 @@ def _sharding(length: int):
 FOUND_SCHEMA = "rid long, place long, strings long, key long, part long, content binary"
 
 
-def _found(rid, place, strings, key, part, content) -> pa.RecordBatch:
-    if content is None:
-        content = pa.nulls(len(rid), pa.binary())
-    else:
-        n, length = content.shape
-        content = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(content))])
+def _found(rid, place, strings, key, part, packed: bytes | None) -> pa.RecordBatch:
+    content = pa.nulls(len(rid), pa.binary()) if packed is None else pa.array([packed], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, place, strings, key, part.astype(np.int64))] + [content], names=["rid", "place", "strings", "key", "part", "content"])
 
 
@@ -378,28 +386,21 @@ def merged_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def _merging(length: int):
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        rid, place, key, part = (whole.column(c).to_numpy() for c in ("rid", "place", "key", "part"))
-        data, _ = binary_values(whole.column("content"))
-        content = np.ascontiguousarray(data).view(f"S{length}")
+    def run(rows: pa.Table) -> pa.Table:
+        """All runs of one anchor and range of hashes."""
+        runs, rid, place = [], [], []
+        for packed, n in zip(rows.column("content").to_pylist(), rows.column("strings").to_pylist()):
+            runs.append(np.frombuffer(packed, f"S{length}", n))
+            rid.append(np.frombuffer(packed, np.int64, n, n * length))
+            place.append(np.frombuffer(packed, np.int64, n, n * (length + 8)))
+        sizes = np.cumsum([0, *map(len, runs)])
+        rid, place = np.concatenate(rid), np.concatenate(place)
+        by_age = np.lexsort((place, rid))
         age = np.empty(len(rid), np.int64)
-        age[np.lexsort((place, rid))] = np.arange(len(rid))
-        at = np.argsort(age)
-        by = np.lexsort((content, part, key))
-        keys = _groups(key[by])
-        lost = []
-        for lo, hi in zip(keys, np.r_[keys[1:], len(by)]):
-            own = by[lo:hi]
-            cuts = _groups(part[own])
-            runs = [(content[own[a:b]], age[own[a:b]]) for a, b in zip(cuts, np.r_[cuts[1:], len(own)])]
-            lost += merged_runs(runs)[2]
-        gone = at[np.concatenate(lost)] if lost else np.zeros(0, np.int64)
-        a = joined_runs(rid[gone], place[gone], np.ones(len(gone), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in a], names=["rid", "place", "strings"])
+        age[by_age] = np.arange(len(rid))
+        lost = merged_runs([(r, age[a:b]) for r, a, b in zip(runs, sizes[:-1], sizes[1:])])[2]
+        gone = by_age[np.concatenate(lost)] if lost else np.zeros(0, np.int64)
+        return pa.table(dict(zip(("rid", "place", "strings"), joined_runs(rid[gone], place[gone], np.ones(len(gone), np.int64)))))
 
     return run
 
@@ -421,18 +422,17 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     if not m["n"]:
         return equal
     big = sizes.where(F.col("count") > ANCHOR_CAP).select("key", F.ceil(F.col("count") / (ANCHOR_CAP // 2)).alias("parts"))
-    dealt = check.join(big, "key", "left").select("key", "rid", "place", "strings", F.coalesce(F.pmod(F.xxhash64("rid", "place"), "parts"), F.lit(0)).alias("part"), F.col("parts").isNotNull().alias("cut"))
-    lists = dealt.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "strings", "part", "cut")).alias("segments"))
+    dealt = check.join(big, "key", "left").select("key", "rid", "place", "strings", F.coalesce(F.pmod(F.xxhash64("rid", "place"), "parts"), F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
+    lists = dealt.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "strings", "part", "parts")).alias("segments"))
     cut_out = texts.join(lists, "rid").select("rid", "body", F.explode("segments").alias("s"))
-    cut_out = cut_out.select("s.key", "s.part", "s.cut", "rid", "s.place", "s.strings", F.expr(f"substring(body, cast(s.place + 1 as int), s.strings + {length - 1})").alias("segment"))
+    cut_out = cut_out.select("s.key", "s.part", "s.parts", "rid", "s.place", "s.strings", F.expr(f"substring(body, cast(s.place + 1 as int), s.strings + {length - 1})").alias("segment"))
     shards = max(12, m["n"] // 40_000)
     found = written(cut_out.repartition(int(shards), "key", "part").mapInArrow(_sharding(length), FOUND_SCHEMA), "shards")
     released(spark)
     out = equal.unionAll(found.where("content is null").select("rid", "place", "strings"))
     if m["most"] > ANCHOR_CAP:
         firsts = found.where("content is not null")
-        runs = firsts.repartitionByRange(int(max(12, firsts.count() // 200_000)), "key", "content")
-        out = out.unionAll(runs.mapInArrow(_merging(length), "rid long, place long, strings long"))
+        out = out.unionAll(firsts.groupBy("key", F.col("rid").alias("slot")).applyInArrow(_merging(length), "rid long, place long, strings long"))
     return out
 
 
