@@ -3,14 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: SQL can express neither the trained classifier nor the suffix arrays; see tests/llm.
+from tabulon.llm import mixing, packing, quality, simhash, suffixes
+from tabulon.llm.common import written
+
+#: Documents scoring below this are rejected.
+QUALITY_THRESHOLD = 0.3
+#: Length in bytes of the repeated strings that are removed.
+REPEAT_BYTES = 100
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.quality_score(model, spark, F.col("text")) >= QUALITY_THRESHOLD)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group of near-duplicates."""
+    return simhash.near_dedup(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that already stand earlier in the corpus; documents stay, if only empty."""
+    cut = suffixes.cut_repeats(docs, REPEAT_BYTES, "text")
+    text = F.when(F.col("cut.n_removed") == 0, F.col("row.text")).otherwise(F.col("cut.kept"))
+    changed = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return cut.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 1024-token sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("mix_sources", mix_sources),
+    ("packing", pack_sequences),
+]
+#: SQL can express neither the trained classifier nor the packing; tests/llm tests the pipeline instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

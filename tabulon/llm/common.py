@@ -143,14 +143,17 @@ def released(spark: SparkSession) -> None:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with rid, a unique long in the order of doc_id.
+    """``docs`` to (row, rid): each row as a struct, and a unique long in the order of doc_id.
+
+    The struct keeps names of extra columns apart from the operators' own.
 
     It is doc_id itself where that is unique and not null. Otherwise rows are numbered in the order
     of doc_id (null last) and text, so rows that share a doc_id count as documents in that order.
     """
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k"), F.countDistinct("doc_id").alias("d")).first()
     if n["n"] == n["d"] == n["k"]:
-        return docs.withColumn("rid", F.col("doc_id").cast("long"))
+        return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("rid"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     parts = int(max(1, n["n"] // 50_000))
-    return written(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id()), "keyed")
+    dealt = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return written(dealt.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "keyed")

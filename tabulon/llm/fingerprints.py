@@ -78,7 +78,7 @@ def beside_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
     orders them all; the head of each block is also sent to the block before it. Repeated and null
     ids are ordered as keyed() says.
     """
-    rows = keyed(docs)
+    rows = keyed(docs).select("row.*", "rid")
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).first()
     if not ends["n"]:
         ends = {"n": 1, "lo": 0, "hi": 0}

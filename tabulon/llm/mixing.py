@@ -122,8 +122,14 @@ def mix(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     Null texts and texts without words have size 0 and are not taken; a null source is a source; rows
     that repeat are documents of their own; ``n`` is the row's number by keyed().
     """
-    spark = docs.sparkSession
-    rows = keyed(docs).select(F.col("rid").alias("n"), F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in(F.col("text")).alias("size"))
+    return mix_rows(keyed(docs.select("doc_id", "text", "source")), weights)
+
+
+def mix_rows(keyed_docs: DataFrame, weights: dict | None = None) -> DataFrame:
+    """mix() of rows that keyed() has numbered."""
+    spark = keyed_docs.sparkSession
+    rows = keyed_docs.select("row.doc_id", "row.text", "row.source", "rid")
+    rows = rows.select(F.col("rid").alias("n"), F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in(F.col("text")).alias("size"))
     rows = written(rows, "sizes")
     # a row for each source goes to the driver; documents don't
     found = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()}
@@ -157,9 +163,8 @@ def mix(docs: DataFrame, weights: dict | None = None) -> DataFrame:
 def mixed(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as the mix takes it (columns unchanged)."""
     rows = keyed(docs)
-    taken = mix(docs, weights).where("copies > 0").select(F.col("n").alias("rid"), "copies")
-    rows = rows.join(taken, "rid")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    taken = mix_rows(rows, weights).where("copies > 0").select(F.col("n").alias("rid"), "copies")
+    return rows.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -176,10 +176,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: in
     """``docs`` (doc_id, text, any more columns) with held_out, score and predicted, one row per input row.
 
     Words and their shapes alone are judged; labels of the held-out fold are never read. An empty
-    labels table gives every text the same score. A null doc_id is in no fold (held_out null).
+    labels table gives every text the same score. Columns with these names are replaced. A null doc_id is in no fold (held_out null).
     """
     model = train(docs, labels, "quality", folds, fold)
-    rows = docs.withColumn("held_out", crc_fold(F.col("doc_id"), folds) == fold)
+    rows = docs.drop("held_out", "score", "predicted").withColumn("held_out", crc_fold(F.col("doc_id"), folds) == fold)
     rows = rows.withColumn("score", quality_score(model, docs.sparkSession, F.col("text")))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -436,49 +436,71 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     return out
 
 
-def _cutting(length: int, digest_only: bool) -> Column:
-    kind = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>" if digest_only else "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
+_KEPT = {
+    "bytes": ("binary", pa.binary(), lambda x: x),
+    "sha256": ("string", pa.string(), lambda x: hashlib.sha256(x).hexdigest()),
+    "text": ("string", pa.string(), lambda x: x.decode("utf-8", "ignore")),
+}
 
-    @F.arrow_udf(kind)
+
+def _whole_characters(raw: bytes, start: list[int], stop: list[int]) -> None:
+    """Widens spans to the characters that they touch."""
+    for i in range(len(start)):
+        while start[i] and raw[start[i]] & 0xC0 == 0x80:
+            start[i] -= 1
+        while stop[i] < len(raw) and raw[stop[i]] & 0xC0 == 0x80:
+            stop[i] += 1
+
+
+def _cutting(length: int, kept: str) -> Column:
+    name, kind, form = _KEPT[kept]
+
+    @F.arrow_udf(f"struct<n_bytes:long,n_removed:long,n_spans:long,kept:{name}>")
     def cut(body: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
         for i in range(len(body)):
-            raw = body[i].as_py() or b""
+            raw = body[i].as_py()
             if not runs[i].is_valid:
-                out.append((len(raw), 0, 0, raw))
+                out.append((len(raw), 0, 0, form(raw)))
                 continue
             own = runs[i].values
             start, count = own.field("place").to_numpy(), own.field("strings").to_numpy()
             by = np.argsort(start, kind="stable")
             start, stop = start[by], (start + count + length - 1)[by]
             reach = np.maximum.accumulate(stop)
-            new = np.r_[True, start[1:] > reach[:-1]]
-            at = np.flatnonzero(new)
-            start, stop = start[at], np.maximum.reduceat(stop, at)
-            kept = b"".join(raw[a:b] for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(raw)]))
-            out.append((len(raw), len(raw) - len(kept), len(start), kept))
-        n_bytes, n_removed, n_spans, kept = zip(*out) if out else ((), (), (), ())
-        last = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()) if digest_only else pa.array(kept, pa.binary())
-        return pa.StructArray.from_arrays([pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), last], ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest_only else "kept"])
+            at = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+            start, stop = start[at].tolist(), np.maximum.reduceat(stop, at).tolist()
+            removed = sum(stop) - sum(start)
+            if kept == "text":
+                _whole_characters(raw, start, stop)
+            rest = b"".join(raw[a:b] for a, b in zip([0, *stop], [*start, len(raw)]))
+            out.append((len(raw), removed, len(start), form(rest)))
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], kind)], ["n_bytes", "n_removed", "n_spans", "kept"])
 
     return cut
 
 
-def cut_repeats(docs: DataFrame, length: int = 100, digest_only: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text, any more columns) with struct column ``cut`` (n_bytes, n_removed, n_spans, kept bytes or their sha256).
+def cut_repeats(docs: DataFrame, length: int = 100, kept: str = "bytes") -> DataFrame:
+    """``docs`` (doc_id, text, any more columns) to (row, cut): the row as a struct, and (n_bytes, n_removed, n_spans, kept).
+
+    ``kept`` is what is left, as "bytes", as its "sha256", or as "text"; in a text, a character of
+    which a byte is removed goes whole.
 
     A byte is removed if a ``length``-byte string that covers it also starts earlier; strings are
     judged on the input texts as UTF-8 bytes and never cross documents. Null texts are empty; texts
     shorter than ``length`` are kept whole; repeated rows are documents of their own, see keyed().
     """
     rows = keyed(docs)
-    texts = rows.select("rid", F.col("text").cast("binary").alias("body"))
+    body = F.col("row.text").cast("binary")
+    texts = rows.select("rid", body.alias("body"))
     runs = repeats(texts, length)
     per_text = runs.groupBy("rid").agg(F.collect_list(F.struct("place", "strings")).alias("_runs"))
     joined = rows.join(per_text, "rid", "left")
-    return joined.select(*docs.columns, _cutting(length, digest_only)(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("_runs")).alias("cut"))
+    return joined.select("row", _cutting(length, kept)(F.coalesce(body, F.lit(b"")), F.col("_runs")).alias("cut"))
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut_repeats(docs, 100, digest_only=True).select("doc_id", "cut.*")
+    rows = cut_repeats(docs, 100, "sha256")
+    return rows.select("row.doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.col("cut.kept").alias("kept_sha256"))

@@ -229,10 +229,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: in
     The score reads the text alone. ``predicted`` cuts it at ``threshold``; ``flagged`` cuts it at the
     threshold that was calibrated for the row's language (the common one for languages with fewer
     than ten toxic rows in the calibration, unknown and null languages). Null and empty texts get the
-    score of a text without words; an empty labels table gives all texts one score.
+    score of a text without words; columns with these names are replaced; an empty labels table gives all texts one score.
     """
     net = train(docs, labels, "toxic", folds, fold)
-    rows = docs.withColumn("held_out", crc_fold(F.col("doc_id"), folds) == fold)
+    rows = docs.drop("held_out", "score", "predicted", "threshold", "flagged").withColumn("held_out", crc_fold(F.col("doc_id"), folds) == fold)
     rows = rows.withColumn("score", toxicity_score(net, docs.sparkSession, F.col("text")))
     limit = F.lit(net.thresholds[None])
     if "lang" in docs.columns:

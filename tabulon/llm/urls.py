@@ -84,10 +84,11 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> Data
     subdomains if the url's path starts with the rule's; the longest (host and path together, then
     host) wins, and of equal rules block. For each url the candidates are its host's suffixes with
     its path's prefixes of the lengths that the list has; the filter drops nearly all of them, and
-    the hash join with the list settles the rest. A url with no rule gets ``otherwise``: it is not
+    the hash join with the list settles the rest. Columns of ``pages`` with these names are replaced. A url with no rule gets ``otherwise``: it is not
     listed. Null urls and urls without :// have an empty host and path, which no rule fits.
     """
     spark = pages.sparkSession
+    pages = pages.drop("host", "path", "rule", "verdict", "_pairs", "_hit")
     listed = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(F.col("verdict") == "block").alias("_block"))
     listed = listed.select("r_host", "r_path", F.when(F.col("_block"), "block").otherwise("allow").alias("r_verdict"))
     hashed = lambda h, p: F.xxhash64(h, p)
