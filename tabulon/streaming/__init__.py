@@ -1,0 +1 @@
+"""Reserved: the dialect has no continuous queries and no event-time type, so nothing streams."""
