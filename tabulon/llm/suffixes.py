@@ -203,6 +203,9 @@ def _settle_equal(batches):
 
 
 def _groups(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64)
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
 
 
@@ -215,18 +218,19 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n > SHARD_BYTES:
         raise ValueError("a suffix array holds at most 2^21 bytes")
-    wide = np.r_[text, np.zeros(4, np.uint8)].astype(np.uint64)
-    first = (wide[:n] << np.uint64(24)) | (wide[1 : n + 1] << np.uint64(16)) | (wide[2 : n + 2] << np.uint64(8)) | wide[3 : n + 3]
-    packed = np.sort((first << np.uint64(32)) | np.arange(n, dtype=np.uint64))
-    order = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    heads = _groups(packed >> np.uint64(32))
+    # places beyond the end count as 0, which no byte does, so no two suffixes stay equal
+    wide = np.r_[text.astype(np.uint64) + np.uint64(1), np.zeros(4, np.uint64)]
+    first = (wide[:n] << np.uint64(27)) | (wide[1 : n + 1] << np.uint64(18)) | (wide[2 : n + 2] << np.uint64(9)) | wide[3 : n + 3]
+    mask = np.uint64(SHARD_BYTES - 1)
+    packed = np.sort((first << np.uint64(21)) | np.arange(n, dtype=np.uint64))
+    order = (packed & mask).astype(np.int64)
+    heads = _groups(packed >> np.uint64(21))
     sizes = np.diff(np.r_[heads, n])
     rank = np.empty(n + 1, np.int64)
     rank[order] = np.repeat(heads, sizes)
     rank[n] = 0
     tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
     known = 4
-    mask = np.uint64(SHARD_BYTES - 1)
     while len(tied):
         at = order[tied]
         ahead = np.minimum(at + known, n)
@@ -251,6 +255,8 @@ def kasai(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 4096) ->
     ``lanes`` stretches of the text go forward in step, each with a prefix of its own.
     """
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     pad = np.r_[text, np.zeros(most + 16, np.uint8)].astype(np.uint64)
@@ -421,7 +427,9 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     m = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
     if not m["n"]:
         return equal
-    big = sizes.where(F.col("count") > ANCHOR_CAP).select("key", F.ceil(F.col("count") / (ANCHOR_CAP // 2)).alias("parts"))
+    # an anchor's segments are at most 2 x length bytes each, and must fit a suffix array
+    cap = min(ANCHOR_CAP, SHARD_BYTES * 3 // 4 // (2 * length))
+    big = sizes.where(F.col("count") > cap).select("key", F.ceil(F.col("count") / max(1, cap // 2)).alias("parts"))
     dealt = check.join(big, "key", "left").select("key", "rid", "place", "strings", F.coalesce(F.pmod(F.xxhash64("rid", "place"), "parts"), F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
     lists = dealt.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "strings", "part", "parts")).alias("segments"))
     cut_out = texts.join(lists, "rid").select("rid", "body", F.explode("segments").alias("s"))
@@ -430,7 +438,7 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     found = written(cut_out.repartition(int(shards), "key", "part").mapInArrow(_sharding(length), FOUND_SCHEMA), "shards")
     released(spark)
     out = equal.unionAll(found.where("content is null").select("rid", "place", "strings"))
-    if m["most"] > ANCHOR_CAP:
+    if m["most"] > cap:
         firsts = found.where("content is not null")
         out = out.unionAll(firsts.groupBy("key", F.col("rid").alias("slot")).applyInArrow(_merging(length), "rid long, place long, strings long"))
     return out
