@@ -28,12 +28,13 @@ def test_columns(outputs):
         assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_quality_keeps_good_documents(spark, outputs):
-    kept = {r["doc_id"] for r in outputs[1].collect()}
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    right = [(i in kept) == (q == 1) for i, q in labels.items()]
-    assert np.mean(right) > 0.95
-    assert all(i in kept for i, q in labels.items() if q == 1) or np.mean([i in kept for i, q in labels.items() if q == 1]) > 0.97
+def test_quality_keeps_good_documents(spark):
+    data = DATA.replace("0.001", "0.01")  # the smallest tables have too few labels to learn from
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = {r["doc_id"] for r in pipeline.keep_quality(spark, docs, data).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    assert np.mean([(i in kept) == (q == 1) for i, q in labels.items()]) > 0.97
+    assert np.mean([i in kept for i, q in labels.items() if q == 1]) > 0.98
 
 
 def test_one_of_each_group_of_copies_stays(outputs):
