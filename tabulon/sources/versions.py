@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -22,8 +23,24 @@ def version_dir(spark: SparkSession) -> str:
     return where
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Versions are working copies; what outlives the engine is in its data folder."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session has gone; whoever owns the shared folder clears it
+            return
+
+
 def written_version(df: DataFrame, name: str) -> DataFrame:
     """The rows as files of their own: a short plan, and nothing to recompute."""
     path = f"{version_dir(df.sparkSession)}/version-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
