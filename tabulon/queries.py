@@ -5,6 +5,7 @@ The dialect has no aliases, so aggregates are renamed here, outside the engine.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -117,16 +118,18 @@ CASES: dict[str, Case] = {
 }
 
 
-def engine_on(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine with all test tables. Registering reads no rows."""
+def engine_on(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES) -> Engine:
+    """An engine with test tables. Registering reads a file's schema, and no rows."""
     engine = Engine(spark)
-    for name in TABLES:
+    for name in tables:
         engine.register_parquet(name, f"{sf_dir}/{name}.parquet", KEYS.get(name))
     return engine
 
 
 def run(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = engine_on(spark, sf_dir)
+    text = " ".join((case.sql, *case.before))
+    named = tuple(t for t in TABLES if re.search(rf"\b{t}\b", text) or "SHOW TABLES" in text)
+    engine = engine_on(spark, sf_dir, named)
     for sql in case.before:
         engine.execute(sql)
     if case.run is not None:
