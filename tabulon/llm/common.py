@@ -41,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def forget_written() -> None:
+    """Deletes all tables that written() has made: for a long session, once no result that reads them is needed. Runs at exit."""
+    while _written:
+        spark, path = _written.pop()
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -50,7 +52,7 @@ def _remove_written() -> None:
             return
 
 
-atexit.register(_remove_written)
+atexit.register(forget_written)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

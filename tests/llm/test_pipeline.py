@@ -93,3 +93,24 @@ def test_everything_is_packed(outputs):
 
 def test_run_gives_the_last_stage(spark, outputs):
     assert pipeline.run(spark, DATA).count() == outputs[5].count()
+
+
+@pytest.mark.parametrize("place", range(5))
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_on_odd_rows(spark, place, rows):
+    """Nulls, empty and long texts, repeated rows, null ids, extra columns with the operators' own names, and no rows."""
+    import sys
+
+    sys.path.insert(0, os.path.dirname(__file__))
+    from test_operators import frame, texts
+
+    some = texts() if rows == "odd" else []
+    docs = frame(spark, [*some, *some[:1], *some[3:5], (None, "no id", "en", "a"), (None, None, None, None)] if some else [])
+    out = pipeline.STAGES[place][1](spark, docs, DATA)
+    if place < 4:
+        assert out.columns == docs.columns
+        assert all(r["score"] == "x" and r["copies"] == 9 and r["rid"] == "r" for r in out.collect())
+    else:
+        assert out.where("start = 0").count() == docs.count()
+    if not some:
+        assert out.count() == 0
