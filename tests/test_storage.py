@@ -27,6 +27,18 @@ def test_survives_a_restart(spark, tmp_path, mode):
     assert state(Engine(spark, mode, str(tmp_path))) == state(again)
 
 
+@pytest.mark.parametrize("mode", ["wal", "snapshot"])
+def test_registered_files_survive_too(spark, tmp_path, mode):
+    spark.range(5).selectExpr("id", "concat('n', id) AS name").coalesce(1).write.parquet(str(tmp_path / "files"))
+    engine = Engine(spark, mode, str(tmp_path / "db"))
+    engine.register_parquet("F", str(tmp_path / "files"), "id")
+    engine.execute("DELETE FROM f WHERE id = 2")
+    engine.execute("INSERT INTO f VALUES (9, 'new')")
+    want = [(0, "n0"), (1, "n1"), (3, "n3"), (4, "n4"), (9, "new")]
+    assert Engine(spark, mode, str(tmp_path / "db")).execute("SELECT * FROM f").rows() == want
+    assert spark.read.parquet(str(tmp_path / "files")).count() == 5
+
+
 def test_failed_and_rolled_back_statements_are_not_kept(spark, tmp_path):
     engine = Engine(spark, "wal", str(tmp_path))
     session = engine.session()
