@@ -68,10 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def words_in(text: Column) -> Column:
     """How many words a text has (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -96,10 +92,6 @@ def binary_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def column_of(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of many runs: starts[i], starts[i]+1, ... lengths[i] of them, one after another."""
     total = int(lengths.sum())

@@ -166,7 +166,6 @@ def round_robin(lengths: list[list[int]], share: list[float], owed: list[float],
 def _packing(size: int, shares: dict):
     def run(key, left, right):
         left = left.combine_chunks()
-        doc = left.column("doc_id").to_numpy(zero_copy_only=False)
         names = left.column("source").to_pylist()
         count = left.column("n_tokens").to_numpy()
         order = np.lexsort((count, left.column("place").to_numpy()))
