@@ -17,7 +17,6 @@ the same document further left). Three steps find these strings without ever com
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -33,6 +32,8 @@ GRAM = 32
 BUFFER, SHARD_BYTES, ANCHOR_CAP = 1 << 20, 1 << 21, 8000
 #: An anchor with this many different segments in one reading task skips step 1 and goes to the shards.
 BUSY = 64
+#: Rows of 16 bytes that are small enough to send to every task.
+MOST_SENT = 100_000
 
 ROW, REPEAT, CHECK, MARK = range(4)
 
@@ -424,13 +425,19 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     equal = settled.where(F.col("kind") == REPEAT).select("rid", "place", F.col("strings").cast("long").alias("strings"))
     check = settled.where(F.col("kind") == CHECK).select(F.col("deal").alias("key"), "rid", "place", "strings")
     sizes = check.groupBy("key").count()
-    m = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
-    if not m["n"]:
-        return equal
     # an anchor's segments are at most 2 x length bytes each, and must fit a suffix array
     cap = min(ANCHOR_CAP, SHARD_BYTES * 3 // 4 // (2 * length))
-    big = sizes.where(F.col("count") > cap).select("key", F.ceil(F.col("count") / max(1, cap // 2)).alias("parts"))
-    dealt = check.join(big, "key", "left").select("key", "rid", "place", "strings", F.coalesce(F.pmod(F.xxhash64("rid", "place"), "parts"), F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
+    over = F.col("count") > cap
+    m = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(over).alias("cut")).first()
+    if not m["n"]:
+        return equal
+    if m["cut"]:
+        big = sizes.where(over).select("key", F.ceil(F.col("count") / max(1, cap // 2)).alias("parts"))
+        # anchors to cut are few where the corpus is not huge; the join by key would gather each in one task
+        dealt = check.join(F.broadcast(big) if m["cut"] <= MOST_SENT else big, "key", "left")
+    else:
+        dealt = check.withColumn("parts", F.lit(None).cast("long"))
+    dealt = dealt.select("key", "rid", "place", "strings", F.coalesce(F.pmod(F.xxhash64("rid", "place"), "parts"), F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
     lists = dealt.groupBy("rid").agg(F.collect_list(F.struct("key", "place", "strings", "part", "parts")).alias("segments"))
     cut_out = texts.join(lists, "rid").select("rid", "body", F.explode("segments").alias("s"))
     cut_out = cut_out.select("s.key", "s.part", "s.parts", "rid", "s.place", "s.strings", F.expr(f"substring(body, cast(s.place + 1 as int), s.strings + {length - 1})").alias("segment"))
@@ -438,7 +445,7 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     found = written(cut_out.repartition(int(shards), "key", "part").mapInArrow(_sharding(length), FOUND_SCHEMA), "shards")
     released(spark)
     out = equal.unionAll(found.where("content is null").select("rid", "place", "strings"))
-    if m["most"] > cap:
+    if m["cut"]:
         firsts = found.where("content is not null")
         out = out.unionAll(firsts.groupBy("key", F.col("rid").alias("slot")).applyInArrow(_merging(length), "rid long, place long, strings long"))
     return out
