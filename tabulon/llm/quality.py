@@ -62,27 +62,31 @@ class Model:
 def log_ratios(rows: list[np.ndarray], label: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
     """Log of the ratio of a bucket's smoothed shares in the two classes."""
     size = 1 << bits
-    good = np.bincount(np.concatenate([r for r, y in zip(rows, label) if y > 0] or [np.zeros(0, np.int64)]), minlength=size) + smooth
-    bad = np.bincount(np.concatenate([r for r, y in zip(rows, label) if y <= 0] or [np.zeros(0, np.int64)]), minlength=size) + smooth
+    good, bad = np.full(size, smooth), np.full(size, smooth)
+    for r, y in zip(rows, label):  # a row has a bucket once at most
+        (good if y > 0 else bad)[r] += 1
     return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, cost: np.ndarray, size: int, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, norm: np.ndarray, sign: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
     """Linear hinge-loss machine by dual coordinate descent: one multiplier at a time, in random order.
 
-    Rows are unit vectors with a constant feature of 1 appended, so the diagonal is 2.
+    A row's vector is the ratios of its buckets over its norm, made when its turn comes, so the driver
+    holds no more than the bucket lists. A constant feature of 1 is appended, so the diagonal is 2.
     """
-    w, bias = np.zeros(size), 0.0
+    w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     random = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
         for i in random.permutation(len(rows)):
-            slope = sign[i] * (values[i] @ w[rows[i]] + bias) - 1.0
+            at = rows[i]
+            x = ratio[at] / norm[i]
+            slope = sign[i] * (x @ w[at] + bias) - 1.0
             new = min(max(alpha[i] - slope / 2.0, 0.0), cost[i])
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[at] += step * x
                 bias += step
                 alpha[i] = new
                 worst = max(worst, abs(step))
@@ -118,10 +122,10 @@ def fit(rows: list[np.ndarray], label: np.ndarray, bits: int = BITS, cost: float
         y = label[chosen]
         ratio = log_ratios(own, y, bits)
         square = ratio**2
-        values = [ratio[r] / max(np.sqrt(square[r].sum()), 1e-9) for r in own]
+        norm = np.array([max(np.sqrt(square[r].sum()), 1e-9) for r in own])
         share = np.where(y > 0, y.mean(), 1 - y.mean())
-        w, bias = dual_descent(own, values, np.where(y > 0, 1.0, -1.0), cost * 0.5 / np.maximum(share, 1e-9), size)
-        if part is not None and not part.all():
+        w, bias = dual_descent(own, ratio, norm, np.where(y > 0, 1.0, -1.0), cost * 0.5 / np.maximum(share, 1e-9))
+        if not part.all():
             margin = np.array([ratio[r] @ w[r] / max(np.sqrt(square[r].sum()), 1e-9) + bias for r in (rows[i] for i in np.flatnonzero(held))])
             a, b = logistic_line(margin, label[held]) if 0 < label[held].mean() < 1 else (1.0, 0.0)
     return Model((w * ratio).astype(np.float32), square.astype(np.float32), float(bias), a, b, bits)
@@ -153,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     ids = got.column("doc_id").to_numpy()
     y = got.column("y").to_numpy()
     lists = got.column("rows").combine_chunks()
-    rows = [lists[i].values.to_numpy().astype(np.int64) for i in range(len(ids))]
+    # views of the 32-bit lists, not copies
+    rows = [lists[i].values.to_numpy() for i in range(len(ids))]
     order = np.lexsort((y, [len(r) for r in rows], mixed(ids.astype(np.int64).view(np.uint64)))) if len(ids) else []
     return fit([rows[i] for i in order], np.array([int(y[i] > 0) for i in order], np.int64), bits)
 
