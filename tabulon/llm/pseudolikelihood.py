@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, byte_batches, table
+from .common import binary_values, byte_batches, keyed, table, written
 from .features import mixed, word_hashes, word_spans
 
-#: Words with an id of their own (the most frequent of the whole corpus), ids shared by the others by
-#: hash, classes of the two-step output, hidden units, words seen on each side, and the share of all
+#: Words whose id in the network is theirs alone (the most frequent of the whole corpus), ids that the others
+#: share by hash (their own share of it comes from the full counts), classes of the two-step output, hidden units, words seen on each side, and the share of all
 #: word places that training visits (of every document, so training grows with the corpus).
 WORDS, SHARED, CLASSES, HIDDEN, REACH, VISIT = 3072, 1024, 64, 24, 2, 16
 IDS = WORDS + SHARED
@@ -43,8 +43,8 @@ def new_net(seed: int = 5) -> Net:
     return Net(draw(len(OFFSETS), IDS + 1, HIDDEN), zero(HIDDEN), draw(HIDDEN, CLASSES), zero(CLASSES), draw(CLASSES, HIDDEN, MEMBERS), zero(CLASSES, MEMBERS))
 
 
-def word_ids(data: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and id of each word; ``vocabulary`` is sorted hashes, ``rank`` their ids."""
+def word_ids(data: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, id and hash of each word; ``vocabulary`` is sorted hashes, ``rank`` their ids."""
     start, end, text = word_spans(data, bounds)
     h = word_hashes(data, start, end, fold=True)
     ids = WORDS + (h % np.uint64(SHARED)).astype(np.int64)
@@ -52,7 +52,7 @@ def word_ids(data: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray, rank:
         at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
         known = vocabulary[at] == h
         ids[known] = rank[at[known]]
-    return text, ids
+    return text, ids, h
 
 
 def surroundings(text: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -163,9 +163,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
+    """The network, and what turns the probability of a shared id into that of a word.
+
+    ``counts`` (h, n) is the full count table, left on the executors; ``shared`` is how many words of
+    the corpus fell on each shared id. Of a shared id's probability, a word that stands n times takes
+    n / (shared + 1), and all words never counted take 1 / (shared + 1).
+    """
+
     vocabulary: np.ndarray
     rank: np.ndarray
     net: Net
+    counts: DataFrame
+    shared: np.ndarray
+
+
+def shared_id(h: str = "h") -> Column:
+    """Which shared id the word of hash ``h`` (a signed long) falls on, from 0."""
+    return F.col(h).bitwiseAND(F.lit(SHARED - 1)).cast("int")
 
 
 def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1) -> Model:
@@ -176,9 +190,15 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1
     trained on and sent grows with the corpus; what reaches the driver is one network.
     """
     spark = docs.sparkSession
-    top = word_counts(docs).orderBy(F.desc("n"), "h").limit(WORDS).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    counts = written(word_counts(docs), "words")
+    most = counts.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
+    top = most.column("h").to_numpy().view(np.uint64)
     order = np.argsort(top)
     vocabulary, rank = top[order], order.astype(np.int64)
+    shared_counts = np.zeros(SHARED, np.int64)
+    for row in counts.groupBy(shared_id().alias("i")).agg(F.sum("n").alias("n")).collect():
+        shared_counts[row["i"]] = row["n"]
+    np.subtract.at(shared_counts, (top % np.uint64(SHARED)).astype(np.int64), most.column("n").to_numpy())
     net = new_net()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     for _ in range(rounds):
@@ -188,7 +208,7 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1
             vocabulary, rank, start = shared.value
             trainer, places, pending = Trainer(start, rate), 0, []
             for part in byte_batches(batches, 4 << 20):
-                text, ids = word_ids(*binary_values(part.column(1)), vocabulary, rank)
+                text, ids, _ = word_ids(*binary_values(part.column(1)), vocabulary, rank)
                 if not len(ids):
                     continue
                 around = surroundings(text, ids)
@@ -235,38 +255,58 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1
             total = row["places"]
         if total:
             net = Net(*(p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.parts())))
-    return Model(vocabulary, rank, net)
+    return Model(vocabulary, rank, net, counts, shared_counts)
 
 
-def log_likelihood(model: Model, spark, text: Column) -> Column:
-    """Struct (n_words, log_likelihood): the sum over all words of a text; 0 for texts without words."""
-    shared = spark.sparkContext.broadcast(model)
+def log_likelihoods(model: Model, docs: DataFrame) -> DataFrame:
+    """``docs`` (rid, a unique long, and text) to (rid, n_words, log_likelihood); 0 for texts without words.
 
-    @F.arrow_udf("struct<n_words:long,log_likelihood:double>")
-    def score(column: pa.Array) -> pa.Array:
-        m = shared.value
-        counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for part in byte_batches([pa.RecordBatch.from_arrays([column], names=["t"])], 2 << 20):
-            where, ids = word_ids(*binary_values(part.column(0)), m.vocabulary, m.rank)
-            value = log_probabilities(m.net, surroundings(where, ids), ids)
-            counts.append(np.bincount(where, minlength=part.num_rows))
-            sums.append(np.bincount(where, value, part.num_rows))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums))], ["n_words", "log_likelihood"])
+    One pass gives a row per text, with all that the network tells, and a row per different word of a
+    shared id in it. The latter meet the full counts by the word's hash: no such word is more frequent
+    than the least of the vocabulary, so no key is hot.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.rank, model.net, np.log(model.shared + 1.0)))
 
-    return score(F.coalesce(text, F.lit("")).cast("binary"))
+    def run(batches):
+        vocabulary, rank, net, sizes = shared.value
+        for part in byte_batches(batches, 2 << 20):
+            rid = part.column(0).to_numpy()
+            where, ids, h = word_ids(*binary_values(part.column(1)), vocabulary, rank)
+            value = log_probabilities(net, surroundings(where, ids), ids)
+            rare = np.flatnonzero(ids >= WORDS)
+            value[rare] -= sizes[ids[rare] - WORDS]
+            whole = np.bincount(where, minlength=part.num_rows), np.bincount(where, value, part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(mixed(rid.view(np.uint64)).view(np.int64)), pa.array(np.zeros(len(rid), bool)), pa.array(whole[0], pa.int64()), pa.array(whole[1])], names=names)
+            rare = rare[np.lexsort((h[rare], where[rare]))]
+            if len(rare):
+                at, word = where[rare], h[rare]
+                heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (word[1:] != word[:-1])])
+                n = np.diff(np.r_[heads, len(rare)])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at[heads]]), pa.array(word[heads].view(np.int64)), pa.array(np.ones(len(n), bool)), pa.array(n, pa.int64()), pa.array(np.zeros(len(n)))], names=names)
+
+    names = ["rid", "h", "word", "n", "value"]
+    parts = docs.select("rid", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).mapInArrow(run, "rid long, h long, word boolean, n long, value double")
+    # a word that was counted once, or never, has a logarithm of 0 to add
+    known = model.counts.where("n > 1").select(F.col("h").alias("_h"), F.lit(True).alias("_word"), F.log("n").alias("share"))
+    parts = parts.join(known, (F.col("h") == F.col("_h")) & (F.col("word") == F.col("_word")), "left")
+    words = F.sum(F.when(F.col("word"), 0).otherwise(F.col("n")))
+    value = F.sum(F.when(F.col("word"), F.col("n") * F.coalesce("share", F.lit(0.0))).otherwise(F.col("value")))
+    return parts.groupBy("rid").agg(words.alias("n_words"), value.alias("log_likelihood"))
 
 
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` (doc_id, text, any more columns) with n_words, log_likelihood and per_word, one row per input row.
 
     log_likelihood sums the conditional log-probabilities of all words of the whole text, each given
-    the words on both sides of it; per_word divides by n_words (null where there is none). Null and
-    empty texts score 0; columns with these names are replaced. Without a model, one is trained on the same documents.
+    the words on both sides of it, and each with a probability of its own however rare it is; per_word
+    divides by n_words (null where there is none). Null and empty texts score 0; columns with these names
+    are replaced. Without a model, one is trained on the same documents.
     """
     model = model or train(docs)
-    docs = docs.drop("n_words", "log_likelihood", "per_word")
-    rows = docs.select("*", log_likelihood(model, docs.sparkSession, F.col("text")).alias("_s"))
-    rows = rows.select(*docs.columns, F.col("_s.n_words").alias("n_words"), F.col("_s.log_likelihood").alias("log_likelihood"))
+    rows = keyed(docs)
+    found = log_likelihoods(model, rows.select("rid", F.col("row.text").alias("text")))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "log_likelihood", "per_word")]
+    rows = rows.join(found, "rid").select(*kept, "n_words", "log_likelihood")
     return rows.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

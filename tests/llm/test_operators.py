@@ -347,6 +347,31 @@ def test_pseudo_likelihood(spark, docs, none):
     assert pseudolikelihood.scored(none).count() == 0
 
 
+def test_pseudo_likelihood_tells_words_of_a_shared_id_apart(spark):
+    words = [f"w{i}" for i in range(12000)]  # more than have an id of their own
+    rows = [(i, " ".join(words[j] for j in range(12000) if j % (1 + i) == 0), "en", "a") for i in range(12)]
+    model = pseudolikelihood.train(frame(spark, rows), rounds=1)
+    count = Counter(w for _, t, _, _ in rows for w in t.split())
+    hashed = {}
+    for w in [*count, "never1", "never2"]:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        _, ids, _ = pseudolikelihood.word_ids(raw, np.array([0, len(raw)]), model.vocabulary, model.rank)
+        hashed[w] = int(ids[0])
+    some = [w for w in [*count, "never1", "never2"] if hashed[w] >= pseudolikelihood.WORDS]
+    test = frame(spark, [(i, w, "en", "a") for i, w in enumerate(some)])
+    got = {some[r["doc_id"]]: r["log_likelihood"] for r in pseudolikelihood.scored(test, model).collect()}
+    whole = Counter()
+    for w, n in count.items():
+        whole[hashed[w]] += n
+    alone = {}
+    for w in some:  # less the word's share of its id, words of one id have the same probability
+        alone.setdefault(hashed[w], []).append(got[w] - np.log(max(count[w], 1) / (whole[hashed[w]] + 1)))
+    assert any(len(x) > 1 for x in alone.values())
+    for x in alone.values():
+        assert x == pytest.approx([x[0]] * len(x), rel=1e-6)
+    assert len({round(got[w], 6) for w in some}) > len(alone)
+
+
 def test_pseudo_likelihood_is_a_distribution():
     net = pseudolikelihood.new_net()
     around = np.full((4, pseudolikelihood.IDS), 3)
