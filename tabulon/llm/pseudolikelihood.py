@@ -13,9 +13,8 @@ from .common import binary_values, byte_batches, keyed, table, written
 from .features import mixed, word_hashes, word_spans
 
 #: Words whose id in the network is theirs alone (the most frequent of the whole corpus), ids that the others
-#: share by hash (their own share of it comes from the full counts), classes of the two-step output, hidden units, words seen on each side, and the share of all
-#: word places that training visits (of every document, so training grows with the corpus).
-WORDS, SHARED, CLASSES, HIDDEN, REACH, VISIT = 3072, 1024, 64, 24, 2, 16
+#: share by hash (their own share of it comes from the full counts), classes of the two-step output, hidden units, and words seen on each side.
+WORDS, SHARED, CLASSES, HIDDEN, REACH = 3072, 1024, 64, 24, 2
 IDS = WORDS + SHARED
 MEMBERS = IDS // CLASSES
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -161,6 +160,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def round_places(doc_id: np.ndarray, text: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The word places that round ``turn`` trains on; over all rounds each place once. ``text``: row of each place."""
+    first = np.searchsorted(text, np.arange(len(doc_id)))
+    shift = (mixed(doc_id.view(np.uint64)) % np.uint64(rounds)).astype(np.int64)
+    return np.flatnonzero((np.arange(len(text)) - first[text] + shift[text]) % rounds == turn)
+
+
 @dataclass
 class Model:
     """The network, and what turns the probability of a shared id into that of a word.
@@ -182,10 +188,10 @@ def shared_id(h: str = "h") -> Column:
     return F.col(h).bitwiseAND(F.lit(SHARED - 1)).cast("int")
 
 
-def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1) -> Model:
-    """Counts the words of all texts, then trains on a fixed share of the places of every text.
+def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1) -> Model:
+    """Counts the words of all texts, then trains on every place of every text, each in one of the rounds.
 
-    Each round, every task trains the common network on its own texts; the tasks' parameters are
+    Each round, every task trains the common network on the round's places of its own texts; the tasks' parameters are
     averaged by the places they saw, on the executors, and become the next round's network. What is
     trained on and sent grows with the corpus; what reaches the driver is one network.
     """
@@ -201,7 +207,7 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1
     np.subtract.at(shared_counts, (top % np.uint64(SHARED)).astype(np.int64), most.column("n").to_numpy())
     net = new_net()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, rank, net))
 
         def run(batches):
@@ -212,11 +218,9 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 1024, rate: float = 0.1
                 if not len(ids):
                     continue
                 around = surroundings(text, ids)
-                first = np.searchsorted(text, np.arange(part.num_rows))
-                turn = (mixed(part.column(0).to_numpy().view(np.uint64)) % np.uint64(VISIT)).astype(np.int64)
-                chosen = np.flatnonzero((np.arange(len(ids)) - first[text] + turn[text]) % VISIT == 0)
+                chosen = round_places(part.column(0).to_numpy(), text, turn, rounds)
                 pending.append((around[:, chosen], ids[chosen]))
-                if sum(len(x[1]) for x in pending) >= 64 * batch:
+                if sum(len(x[1]) for x in pending) >= 1 << 16:
                     places += visit(trainer, pending)
                     pending = []
             places += visit(trainer, pending)

@@ -372,6 +372,19 @@ def test_pseudo_likelihood_tells_words_of_a_shared_id_apart(spark):
     assert len({round(got[w], 6) for w in some}) > len(alone)
 
 
+def test_pseudo_likelihood_trains_on_every_place(spark):
+    text = np.repeat([0, 1, 3], [1, 7, 40])  # text 2 has no words
+    doc_id = np.array([5, 9, 2, -1])
+    visits = [pseudolikelihood.round_places(doc_id, text, turn, 2) for turn in range(2)]
+    assert sorted(np.concatenate(visits).tolist()) == list(range(48))
+    # texts of two words: each is trained on, so the network knows every pair
+    rows = [(i, f"left{i % 8} right{i % 8}", "en", "a") for i in range(4000)]
+    model = pseudolikelihood.train(frame(spark, rows).repartition(2), batch=64)
+    test = frame(spark, [(0, "left3 right3", "en", "a"), (1, "left3 right4", "en", "a")])
+    told, crossed = pseudolikelihood.scored(test, model).orderBy("doc_id").collect()
+    assert told["per_word"] > -0.3 and told["per_word"] > crossed["per_word"] + 2
+
+
 def test_pseudo_likelihood_is_a_distribution():
     net = pseudolikelihood.new_net()
     around = np.full((4, pseudolikelihood.IDS), 3)
