@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, written
+from .common import LOWER_BYTES, components, ranges, written
 from .components import connected
 
 SEED = 42
@@ -234,15 +234,116 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFr
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text (its words as one, if they are fewer)."""
+    words = text.translate(LOWER_BYTES).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    k = min(shingle, len(words))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1))
+
+
+def alike_links(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all texts within ``budget`` bits whose sets have a Jaccard of ``similarity`` at least.
+
+    With ``side`` (0 or 1 for each text) only pairs across the sides count. A pair is left out only if the
+    links before it already join its texts.
+    """
+    n = len(fp)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    first = np.r_[0, np.cumsum(size)]
+    values, code = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    here = np.zeros(len(values), np.int64)
+    label = np.arange(n)
+    left, right = [], []
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        rest = rest[(label[rest] != label[i]) & (differing_bits(fp[i], fp[rest]) <= budget)]
+        if side is not None:
+            rest = rest[side[rest] != side[i]]
+        # most in common: the smaller set
+        rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])]
+        rest = rest[size[rest] > 0]
+        if not len(rest):
+            continue
+        here[code[first[i] : first[i + 1]]] = 1
+        common = np.add.reduceat(here[code[ranges(first[rest], size[rest])]], np.r_[0, np.cumsum(size[rest])[:-1]])
+        here[code[first[i] : first[i + 1]]] = 0
+        near = rest[common >= similarity * (size[i] + size[rest] - common) - 1e-9]
+        if len(near):
+            left.append(np.full(len(near), i))
+            right.append(near)
+            label[np.isin(label, label[near])] = label[i]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def alike_groups(docs: DataFrame, shingle: int, budget: int, words: int, similarity: float, chunk_texts: int = 2000, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` (doc_id, text) to (doc_id, component_id), one row per input row.
+
+    Texts are linked if their SimHashes differ in at most ``budget`` bits and the Jaccard of their sets of
+    ``words``-word shingles is ``similarity`` at least; texts of the same words always are. SimHash groups
+    only say which texts may meet: all pairs of a group are looked at. Groups over ``chunk_texts`` different
+    texts or ``chunk_bytes`` are cut into chunks, and each pair of chunks meets in a task of its own.
+    """
+
+    @F.arrow_udf("struct<fp:long,lo:long,hi:long,size:long>")
+    def look(column: pa.Array) -> pa.Array:
+        rows = [x or b"" for x in (v.as_py() for v in column)]
+        folded = [b" ".join(x.translate(LOWER_BYTES).split()) for x in rows]
+        prints = np.fromiter((simhash_of(x, shingle) for x in folded), np.uint64, len(rows)).view(np.int64)
+        lo = np.fromiter(map(xxhash.xxh3_64_intdigest, folded), np.uint64, len(rows)).view(np.int64)
+        hi = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in folded), np.uint64, len(rows)).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(prints), pa.array(lo), pa.array(hi), pa.array(list(map(len, folded)), pa.int64())], ["fp", "lo", "hi", "size"])
+
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    seen = written(docs.select("doc_id", look(body).alias("k")).select("doc_id", "k.*"), "prints")
+    # one node for all texts of the same words; its number is that of its words
+    nodes = seen.groupBy("lo", "hi").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("doc_id").alias("low"))
+    nodes = written(nodes.withColumn("node", F.xxhash64("lo", "hi")), "nodes")
+    roots = connected(hamming_links(nodes.select("fp").distinct(), budget))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select(nodes.node, "lo", "hi", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    groups = placed.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("bytes")).where("texts > 1")
+    groups = groups.select("root", F.greatest(F.ceil(F.col("texts") / chunk_texts), F.ceil(F.col("bytes") / chunk_bytes)).cast("int").alias("chunks"))
+    placed = placed.join(groups, "root")
+    # the text of a node is that of one of its rows
+    of_node = seen.select("doc_id", "lo", "hi").join(placed.select("lo", "hi", "node", "fp", "root", "chunks"), ["lo", "hi"]).groupBy("node", "fp", "root", "chunks").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id"), body.alias("body")).join(of_node, "doc_id")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")))
+    dealt = texts.select("node", "fp", "body", "root", own.alias("own"), F.explode(pairs).alias("p")).select("node", "fp", "body", "root", "own", "p.lo", "p.hi")
+
+    def meet(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, fp, own = (block.column(c).to_numpy() for c in ("node", "fp", "own"))
+        sets = [shingle_set(x.as_py(), words) for x in block.column("body")]
+        side = None if block.column("lo")[0].as_py() == block.column("hi")[0].as_py() else (own == block.column("hi")[0].as_py()).astype(int)
+        i, j = alike_links(fp.view(np.uint64), sets, side, budget, similarity)
+        return pa.table({"u": pa.array(node[i], pa.int64()), "v": pa.array(node[j], pa.int64())})
+
+    links = dealt.groupBy("root", "lo", "hi").applyInArrow(meet, "u long, v long")
+    joined = connected(links)
+    final = nodes.select("lo", "hi", "low", F.col("node").alias("_n")).join(joined, F.col("_n") == joined.node, "left").select("lo", "hi", "low", F.coalesce("root", "_n").alias("root"))
+    final = written(final, "nodes")
+    lows = final.groupBy("root").agg(F.min("low").alias("component_id"))
+    return seen.join(final.join(lows, "root").select("lo", "hi", "component_id"), ["lo", "hi"]).select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, similarity: float | None = None, words: int = 5) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays; columns unchanged.
 
-    Rows that repeat a doc_id count as copies: one of them stays. Rows with a null doc_id stay.
+    With ``similarity`` the SimHash links are candidates only: a pair counts if the Jaccard of its sets of
+    ``words``-word shingles is at least that. Rows that repeat a doc_id count as copies: one of them stays.
+    Rows with a null doc_id stay.
     """
-    groups = simhash_groups(docs, shingle, budget)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     unique = docs if ids["n"] == ids["d"] else docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    if similarity is None:
+        groups = simhash_groups(docs, shingle, budget)
+    else:
+        unique = written(unique, "unique")
+        groups = alike_groups(unique.where("doc_id is not null").select("doc_id", "text"), shingle, budget, words, similarity)
+    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     return unique.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(unique.where("doc_id is null").select(*docs.columns))
 
 

@@ -167,6 +167,39 @@ def test_near_dedup(docs, repeated):
     assert twice.pop(None) == 2 and set(twice.values()) == {1}
 
 
+@pytest.mark.parametrize("chunk", [2000, 7])
+def test_near_copies_are_confirmed(spark, chunk):
+    random = np.random.default_rng(4)
+    rows = []
+    for base in range(6):
+        words = prose(100 + base, 150).split()
+        for k in (0, 0, 1, 1, 2, 3, 4, 6, 9, 14):  # from the same text to a similarity far below 0.8
+            some = list(words)
+            for at in random.choice(150, k, replace=False):
+                some[at] = f"new{random.integers(1000)}"
+            rows.append((len(rows), " ".join(some)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, " \n", "One", "one", "two", "a b c d", "a b c d e"])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
+
+    sets, prints = [shingles(t) for _, t in rows], [plain_simhash(t, 2) for _, t in rows]
+    pairs, linked = [], 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 8:
+                linked += 1
+                if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    pairs.append((i, j))
+    assert 10 < len(pairs) < linked
+    want = components(len(rows), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])).tolist()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(df, 2, 8, 5, 0.8, chunk_texts=chunk).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(df, 2, 8, 0.8).collect()) == sorted(set(want))
+
+
 def test_connected_components_of_odd_links(spark):
     from tabulon.llm.components import connected
 
