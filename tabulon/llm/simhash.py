@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, ranges, written
+from .common import LOWER_BYTES, components, keyed, ranges, written
 from .components import connected
 
 SEED = 42
@@ -333,18 +333,15 @@ def near_dedup(docs: DataFrame, shingle: int = 4, budget: int = 4, similarity: f
     """Of each group of near-duplicates the row with the smallest doc_id stays; columns unchanged.
 
     With ``similarity`` the SimHash links are candidates only: a pair counts if the Jaccard of its sets of
-    ``words``-word shingles is at least that. Rows that repeat a doc_id count as copies: one of them stays.
+    ``words``-word shingles is at least that. Rows that share a doc_id count as documents of their own.
     Rows with a null doc_id stay.
     """
-    ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    unique = docs if ids["n"] == ids["d"] else docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    if similarity is None:
-        groups = simhash_groups(docs, shingle, budget)
-    else:
-        unique = written(unique, "unique")
-        groups = alike_groups(unique.where("doc_id is not null").select("doc_id", "text"), shingle, budget, words, similarity)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return unique.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(unique.where("doc_id is null").select(*docs.columns))
+    rows = keyed(docs)
+    texts = rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text"))
+    groups = simhash_groups(texts, shingle, budget) if similarity is None else alike_groups(texts, shingle, budget, words, similarity)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("rid"))
+    kept = rows.where("row.doc_id is not null").join(keep, "rid", "left_semi").select("row").unionByName(rows.where("row.doc_id is null").select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

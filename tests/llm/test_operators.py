@@ -200,6 +200,12 @@ def test_near_copies_are_confirmed(spark, chunk):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(df, 2, 8, 0.8).collect()) == sorted(set(want))
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rows = [(1, prose(50, 80)), (2, prose(50, 80)), (2, prose(51, 80)), (3, prose(52, 80)), (3, prose(53, 80)), (3, prose(53, 80))]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2, 8, 0.8).collect()
+    assert sorted(map(tuple, kept)) == sorted({rows[0], *rows[2:]})
+
+
 def test_connected_components_of_odd_links(spark):
     from tabulon.llm.components import connected
 
