@@ -136,18 +136,61 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(df: DataFrame, order: list[Column], parts: int, name: str) -> DataFrame:
+    """``df`` as a written table with ``rid``: 0, 1, 2 ... in the given order, which must leave no ties that matter.
+
+    Rows are dealt to ``parts`` ranges of the order and counted there; a row for each range goes to the driver.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = written(dealt.select("*", F.monotonically_increasing_id().alias("_place")), name)
+    part = F.shiftright("_place", 33)
+    start, starts = 0, []
+    for r in sorted(kept.groupBy(part.alias("part")).count().collect()):
+        starts.append((r["part"], start))
+        start += r["count"]
+    listed = spark.createDataFrame(starts, "_part long, _start long")
+    rid = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(listed), part == F.col("_part")).select(*df.columns, rid.alias("rid"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` to (row, rid): each row as a struct, and a unique long in the order of doc_id.
 
     The struct keeps names of extra columns apart from the operators' own.
 
-    It is doc_id itself where that is unique and not null. Otherwise rows are numbered in the order
-    of doc_id (null last) and text, so rows that share a doc_id count as documents in that order.
+    It is doc_id itself where that is unique and not null. Otherwise rows are numbered from 0 in the order
+    of doc_id (null last) and text, so rows that share a doc_id count as documents in that order. Rows that
+    agree in both follow a hash of all their columns, and rows alike in all are told apart by their place, so
+    no range of rows is too common to be split.
     """
+    return keyed_and_known(docs)[0]
+
+
+def keyed_and_known(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """keyed(), and whether ``rid`` is doc_id."""
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k"), F.countDistinct("doc_id").alias("d")).first()
     if n["n"] == n["d"] == n["k"]:
-        return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("rid"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    parts = int(max(1, n["n"] // 50_000))
-    dealt = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return written(dealt.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "keyed")
+        return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("rid")), True
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in hashable)).alias("_like"), F.monotonically_increasing_id().alias("_tie"))
+    order = [F.col("row.doc_id").asc_nulls_last(), F.col("row.text").asc_nulls_first(), F.col("_like").asc(), F.col("_tie").asc()]
+    return numbered(rows, order, int(max(1, n["n"] // 50_000)), "keyed").select("row", "rid"), False
+
+
+#: A key is hot from this many rows, or this share of all rows if that is more: there are at most 100,000 hot keys.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
+
+
+def joined_evenly(big: DataFrame, small: DataFrame, key: list[str], counts: DataFrame, rows: int) -> DataFrame:
+    """``big`` joined with ``small``, which has one row for each key at most; no key gathers its rows in one task.
+
+    ``counts`` (the key, n) says how many of big's ``rows`` rows each key has. The hot keys, of which there are at
+    most HOT_SHARE, are sent to every task; the others meet by shuffle.
+    """
+    hot = counts.where(F.col("n") > max(HOT_ROWS, rows // HOT_SHARE)).select(*key)
+    few = written(small.join(F.broadcast(hot), key, "left_semi"), "hot")
+    if few.isEmpty():
+        return big.join(small, key)
+    rest = big.join(F.broadcast(few.select(*key)), key, "left_anti").join(small, key)
+    return big.join(F.broadcast(few), key).unionByName(rest)
