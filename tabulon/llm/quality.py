@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, byte_batches, crc_fold, table
+from .common import binary_values, byte_batches, crc_fold, table, written
 from .features import mixed, pairs_within, shape_hashes, word_hashes, word_spans
 
 BITS = 18
 #: Most labelled rows that the fit reads: those with the least hash of their id. Scores cover all rows.
 SAMPLE_ROWS = 6000
+#: Most bytes of the texts of a sample, so that what the driver holds is bounded however long texts are.
+SAMPLE_BYTES = 64 << 20
 
 
 def indicators(data: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -131,15 +133,28 @@ def fit(rows: list[np.ndarray], label: np.ndarray, bits: int = BITS, cost: float
     return Model((w * ratio).astype(np.float32), square.astype(np.float32), float(bias), a, b, bits)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
-    """At most ``rows`` (doc_id, label, text) of the labelled documents outside the held-out fold, by least hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``rows`` (doc_id, _label, text, lang) of the labelled documents outside the held-out fold, by least hash of the id.
 
-    Null labels say nothing. Where an id has several labels, the greatest counts; several texts, each.
+    Null labels say nothing. Where an id has several labels, the greatest counts; of several texts, that with
+    the least hash. In the same order, a text that would bring the sample over ``most_bytes`` is left out.
+    ``lang`` is null where the documents have none. The sample is a written table.
     """
     seen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(label).alias("_label"))
     seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("text"), lang.alias("lang")).alias("_own"))
     # the sample's bound is its size: at most `rows` ids
-    return docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id")
+    picked = own.join(F.broadcast(seen), "doc_id").groupBy("doc_id").agg(F.max("_label").alias("_label"), F.min("_own").alias("_own"))
+    picked = written(picked.select("doc_id", "_label", "_own.text", "_own.lang"), "sample")
+    total, over = 0, []
+    for r in picked.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        if total + r["n"] > most_bytes:
+            over.append(r["doc_id"])
+        else:
+            total += r["n"]
+    return picked.where(~F.col("doc_id").isin(over)) if over else picked
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, fold: int = 0, sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> Model:
@@ -153,13 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "y", "rows"])
 
-    got = sample.select("doc_id", F.col("_label").cast("int").alias("y"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).mapInArrow(run, "doc_id long, y int, rows array<int>").toArrow()
+    got = sample.select(F.col("doc_id").cast("long"), F.col("_label").cast("int").alias("y"), F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, y int, rows array<int>").toArrow()
     ids = got.column("doc_id").to_numpy()
     y = got.column("y").to_numpy()
     lists = got.column("rows").combine_chunks()
     # views of the 32-bit lists, not copies
     rows = [lists[i].values.to_numpy() for i in range(len(ids))]
-    order = np.lexsort((y, [len(r) for r in rows], mixed(ids.astype(np.int64).view(np.uint64)))) if len(ids) else []
+    order = np.lexsort((ids, mixed(ids.astype(np.int64).view(np.uint64)))) if len(ids) else []
     return fit([rows[i] for i in order], np.array([int(y[i] > 0) for i in order], np.int64), bits)
 
 

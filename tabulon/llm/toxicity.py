@@ -16,6 +16,8 @@ from .quality import labelled_sample, logistic_line
 BITS, DIM, WIDTHS, FILTERS, STEM = 15, 16, (1, 2, 3), 16, 5
 #: Most labelled rows that the fit reads, by least hash of the id. Scores cover all rows and whole texts.
 SAMPLE_ROWS = 8000
+#: Parts of the sample that calibrate in turn until they hold this many rows of label 1; least gradient steps of a fit.
+PARTS, ENOUGH, LEAST_STEPS = 5, 100, 60
 
 
 def word_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,70 +87,92 @@ def _start(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, random)
     return Net(embed, banks, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], random.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 9) -> Net:
-    """Trains by adaptive gradient steps; through max pooling, each filter learns from its best place alone."""
+@dataclass
+class Slopes:
+    """Slopes of the loss: of the output layer, the filter banks, and the embedding rows that were used."""
+
+    out: np.ndarray
+    bias: float
+    banks: list[np.ndarray]
+    shifts: list[np.ndarray]
+    embed: list[tuple[np.ndarray, np.ndarray]]
+
+
+def loss_slopes(net: Net, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray) -> tuple[float, Slopes]:
+    """Weighted mean log-loss of some texts, and its slopes; through max pooling, each filter learns from its best place alone."""
+    whole = np.concatenate([r[0] for r in rows])
+    stem = np.concatenate([r[1] for r in rows])
+    sizes = np.array([len(r[0]) for r in rows])
+    text = np.repeat(np.arange(len(rows)), sizes)
+    ends = np.cumsum(sizes)
+    x = net.embed[whole] + net.embed[stem]
+    best = np.zeros((len(rows), FILTERS * len(WIDTHS)), x.dtype)
+    place = np.full(best.shape, -1)
+    for k, h in enumerate(net.layers(x, text)):
+        for t, (a, b) in enumerate(zip(ends - sizes, ends)):
+            part = h[a : b - WIDTHS[k] + 1]
+            if len(part):
+                at = part.argmax(axis=0)
+                best[t, k * FILTERS : (k + 1) * FILTERS] = part[at, np.arange(FILTERS)]
+                place[t, k * FILTERS : (k + 1) * FILTERS] = at + a
+    z = np.clip(best @ net.out + net.bias, -30, 30)
+    loss = float((weight * (np.log1p(np.exp(z)) - label * z)).mean())
+    slope = ((1 / (1 + np.exp(-z)) - label) * weight / len(rows)).astype(x.dtype)
+    back = slope[:, None] * net.out[None, :] * (best > 0)
+    push = np.zeros_like(x)
+    banks, shifts = [], []
+    for k, width in enumerate(WIDTHS):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        t, f = np.nonzero(back[:, cols])
+        g, at = back[:, cols][t, f], place[:, cols][t, f]
+        bank = np.zeros_like(net.banks[k])
+        if len(t):
+            wide = x[at[:, None] + np.arange(width)].reshape(len(at), -1)
+            np.add.at(bank.T, f, g[:, None] * wide)
+            own = (g[:, None] * net.banks[k].T[f]).reshape(len(at), width, DIM)
+            for i in range(width):
+                np.add.at(push, at + i, own[:, i])
+        banks.append(bank)
+        shifts.append(np.bincount(f, g, FILTERS).astype(x.dtype))
+    hit = np.flatnonzero(np.abs(push).sum(axis=1))
+    embed = []
+    for ids in (whole[hit], stem[hit]):
+        used, inverse = np.unique(ids, return_inverse=True)
+        total = np.zeros((len(used), DIM), x.dtype)
+        np.add.at(total, inverse, push[hit])
+        embed.append((used, total))
+    return loss, Slopes(best.T @ slope, float(slope.sum()), banks, shifts, embed)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 9, least_steps: int = 0) -> Net:
+    """Trains by adaptive gradient steps, for some epochs and at least ``least_steps`` steps, so that few rows are learned too."""
     random = np.random.default_rng(seed)
     net = _start(rows, label, random)
     if not len(rows):
         return net
     weight = np.where(label > 0, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
-    slow = {k: 1e-8 for k in ("out", "bias")}
-    slow |= {("bank", k): 1e-8 for k in range(len(WIDTHS))} | {("shift", k): 1e-8 for k in range(len(WIDTHS))}
+    slow: dict = {}
     seen = np.full(net.embed.shape[0], 1e-8, np.float32)
 
     def step(name, value, slope):
-        slow[name] = slow[name] + slope * slope
+        slow[name] = slow.get(name, 1e-8) + slope * slope
         return value - rate * 4 * slope / np.sqrt(slow[name])
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(rows)))):
         order = random.permutation(len(rows))
         for lo in range(0, len(order), batch):
             chosen = [i for i in order[lo : lo + batch] if len(rows[i][0])]
             if not chosen:
                 continue
-            whole = np.concatenate([rows[i][0] for i in chosen])
-            stem = np.concatenate([rows[i][1] for i in chosen])
-            sizes = np.array([len(rows[i][0]) for i in chosen])
-            text = np.repeat(np.arange(len(chosen)), sizes)
-            ends = np.cumsum(sizes)
-            x = net.embed[whole] + net.embed[stem]
-            best = np.zeros((len(chosen), FILTERS * len(WIDTHS)), np.float32)
-            place = np.full(best.shape, -1)
-            for k, h in enumerate(net.layers(x, text)):
-                for t, (a, b) in enumerate(zip(ends - sizes, ends)):
-                    part = h[a : b - WIDTHS[k] + 1]
-                    if len(part):
-                        at = part.argmax(axis=0)
-                        best[t, k * FILTERS : (k + 1) * FILTERS] = part[at, np.arange(FILTERS)]
-                        place[t, k * FILTERS : (k + 1) * FILTERS] = at + a
-            z = best @ net.out + net.bias
-            y = label[chosen]
-            slope = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight[chosen] / len(chosen)).astype(np.float32)
-            back = slope[:, None] * net.out[None, :] * (best > 0)
-            net.out = step("out", net.out, best.T @ slope + 1e-4 * net.out)
-            net.bias = float(step("bias", net.bias, float(slope.sum())))
-            push = np.zeros_like(x)
-            for k, width in enumerate(WIDTHS):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                t, f = np.nonzero(back[:, cols])
-                if not len(t):
-                    continue
-                g, at = back[:, cols][t, f], place[:, cols][t, f]
-                bank, grad = net.banks[k], np.zeros_like(net.banks[k])
-                wide = x[at[:, None] + np.arange(width)].reshape(len(at), -1)
-                np.add.at(grad.T, f, g[:, None] * wide)
-                own = (g[:, None] * bank.T[f]).reshape(len(at), width, DIM)
-                for i in range(width):
-                    np.add.at(push, at + i, own[:, i])
-                net.banks[k] = step(("bank", k), bank, grad)
-                net.shifts[k] = step(("shift", k), net.shifts[k], np.bincount(f, g, FILTERS).astype(np.float32))
-            hit = np.flatnonzero(np.abs(push).sum(axis=1))
-            for ids in (whole[hit], stem[hit]):
-                rows_, inverse = np.unique(ids, return_inverse=True)
-                total = np.zeros((len(rows_), DIM), np.float32)
-                np.add.at(total, inverse, push[hit])
-                seen[rows_] += (total * total).mean(axis=1)
-                net.embed[rows_] -= rate * 4 * total / np.sqrt(seen[rows_])[:, None]
+            _, slopes = loss_slopes(net, [rows[i] for i in chosen], label[chosen], weight[chosen])
+            net.out = step("out", net.out, slopes.out + 1e-4 * net.out)
+            net.bias = float(step("bias", net.bias, slopes.bias))
+            for k in range(len(WIDTHS)):
+                net.banks[k] = step(("bank", k), net.banks[k], slopes.banks[k])
+                net.shifts[k] = step(("shift", k), net.shifts[k], slopes.shifts[k])
+            for used, total in slopes.embed:
+                seen[used] += (total * total).mean(axis=1)
+                net.embed[used] -= rate * 4 * total / np.sqrt(seen[used])[:, None]
     return net
 
 
@@ -165,13 +189,8 @@ def _best_threshold(score: np.ndarray, label: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, sample_rows: int = SAMPLE_ROWS) -> Net:
-    """Fits the net on four fifths of the sample; the rest calibrates its scores and each language's threshold."""
+    """Fits a net on the sample. Its scores and each language's threshold are calibrated by nets that did not see the row."""
     sample = labelled_sample(docs, labels, label, crc_fold(F.col("doc_id"), folds) == fold, sample_rows)
-    if "lang" in docs.columns:
-        langs = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-        sample = sample.join(langs, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id", "text"])
-    else:
-        sample = sample.withColumn("_lang", F.lit(None).cast("string"))
 
     def run(batches):
         for batch in byte_batches(batches, 2 << 20):
@@ -180,34 +199,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             cut = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(cut, pa.array(whole)), pa.ListArray.from_arrays(cut, pa.array(stem))], names=["doc_id", "y", "lang", "whole", "stem"])
 
-    got = sample.select("doc_id", F.col("_label").cast("int").alias("y"), F.col("_lang").cast("string"), F.coalesce(F.col("text"), F.lit("")).cast("binary")).mapInArrow(run, "doc_id long, y int, lang string, whole array<int>, stem array<int>").toArrow()
+    got = sample.select(F.col("doc_id").cast("long"), F.col("_label").cast("int").alias("y"), "lang", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, y int, lang string, whole array<int>, stem array<int>").toArrow()
     ids = got.column("doc_id").to_numpy()
     y = (got.column("y").to_numpy() > 0).astype(np.int64)
     lang = np.array(got.column("lang").to_pylist(), object)
     whole, stem = (got.column(c).combine_chunks() for c in ("whole", "stem"))
     rows = [(whole[i].values.to_numpy(), stem[i].values.to_numpy()) for i in range(len(ids))]
-    order = np.lexsort((y, [len(r[0]) for r in rows], mixed(ids.astype(np.int64).view(np.uint64)))) if len(ids) else np.zeros(0, int)
-    rows, y, lang = [rows[i] for i in order], y[order], lang[order]
-    held = np.arange(len(rows)) % 5 == 4
-    if not len(rows) or y[~held].min() == y[~held].max():  # nothing to tell apart
+    order = np.lexsort((ids, mixed(ids.astype(np.int64).view(np.uint64)))) if len(ids) else np.zeros(0, int)
+    return fitted([rows[i] for i in order], y[order], lang[order])
+
+
+def fitted(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, lang: np.ndarray, parts: int = PARTS, least_steps: int = LEAST_STEPS) -> Net:
+    """A calibrated net. With few rows each of ``parts`` calibrates in turn, under a net of the others; with many the last alone."""
+    if not len(rows) or y.min() == y.max():  # nothing to tell apart
         net = fit([], np.zeros(0, np.int64), epochs=0)
         net.out[:] = 0
         share = (y.sum() + 1) / (len(y) + 2)
         net.b = float(np.log(share / (1 - share)))
         net.thresholds = {None: 0.5}
         return net
-    net = fit([r for r, h in zip(rows, held) if not h], y[~held])
-    tried = np.flatnonzero(held)
-    z = np.array([net.logits(np.zeros(len(rows[i][0]), np.int64), *rows[i], 1)[0] for i in tried])
-    if 0 < y[tried].mean() < 1:
-        net.a, net.b = logistic_line(z, y[tried])
-    score = 1 / (1 + np.exp(-np.clip(net.a * z + net.b, -30, 30)))
-    net.thresholds = {None: _best_threshold(score, y[tried])}
+    z, tried = np.zeros(len(rows)), np.zeros(len(rows), bool)
+    part = np.arange(len(rows)) % parts
+    for p in reversed(range(parts)):
+        seen = part != p
+        if y[seen].min() < y[seen].max():
+            net = fit([r for r, s in zip(rows, seen) if s], y[seen], least_steps=least_steps)
+            for i in np.flatnonzero(~seen):
+                z[i] = net.logits(np.zeros(len(rows[i][0]), np.int64), *rows[i], 1)[0]
+            tried |= ~seen
+        if y[tried].sum() >= ENOUGH:
+            break
+    final = fit(rows, y, least_steps=least_steps)
+    if tried.any() and 0 < y[tried].mean() < 1:
+        final.a, final.b = logistic_line(z[tried], y[tried])
+    score = 1 / (1 + np.exp(-np.clip(final.a * z + final.b, -30, 30)))
+    final.thresholds = {None: _best_threshold(score[tried], y[tried])}
     for name in {x for x in lang if x is not None}:
-        own = lang[tried] == name
-        if y[tried][own].sum() >= 10:
-            net.thresholds[name] = _best_threshold(score[own], y[tried][own])
-    return net
+        own = tried & (lang == name)
+        if y[own].sum() >= 10:
+            final.thresholds[name] = _best_threshold(score[own], y[own])
+    return final
 
 
 def toxicity_score(net: Net, spark, text: Column) -> Column:
