@@ -77,41 +77,52 @@ def passing(spark, filter_: np.ndarray):
     return test.asNondeterministic()
 
 
+def _last_labels(host: Column, n: int) -> Column:
+    """The last n labels of a host, which has as many at least."""
+    return F.substring_index(host, ".", -n)
+
+
 def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
     """``pages`` (url, any more columns) with host, path, rule and verdict, one row per input row.
 
     ``rules`` has host, path and verdict: canonical URLs, listed. A rule fits its host and all
     subdomains if the url's path starts with the rule's; the longest (host and path together, then
-    host) wins, and of equal rules block. For each url the candidates are its host's suffixes with
-    its path's prefixes of the lengths that the list has; the filter drops nearly all of them, and
+    host) wins, and of equal rules block. For each url the candidates are the ends of its host with
+    as many labels as some listed host, with its path's prefixes of the lengths that the list has, so
+    a url costs no more than its length for each of these; the filter drops nearly all of them, and
     the hash join with the list settles the rest. Columns of ``pages`` with these names are replaced. A url with no rule gets ``otherwise``: it is not
     listed. Null urls and urls without :// have an empty host and path, which no rule fits.
     """
     spark = pages.sparkSession
-    pages = pages.drop("host", "path", "rule", "verdict", "_pairs", "_hit")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     listed = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(F.col("verdict") == "block").alias("_block"))
     listed = listed.select("r_host", "r_path", F.when(F.col("_block"), "block").otherwise("allow").alias("r_verdict"))
     hashed = lambda h, p: F.xxhash64(h, p)
     filter_ = bloom_filter(listed.select(hashed(F.col("r_host"), F.col("r_path")).alias("h")))
-    # lengths of listed paths: no more of them than the longest path has characters
+    # no more of them than the longest listed host has labels, and the longest path characters
+    labels = lambda h: F.regexp_count(h, F.lit(r"\.")) + 1
+    ends = sorted(r[0] for r in listed.where("r_host != ''").select(labels(F.col("r_host"))).distinct().collect())
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())
-    placed = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # the row's own columns stay in a struct, whatever their names
+    placed = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    placed = placed.withColumn("labels", labels(F.col("host")))
+    hosts = F.filter(F.array(*(F.when(F.col("labels") >= n, _last_labels(F.col("host"), n)) for n in ends)).cast("array<string>"), lambda h: h.isNotNull())
     cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(cuts, lambda n: F.struct(h.alias("host"), F.left("path", n).alias("path")))))
-    listing = placed.withColumn("_pairs", F.when(F.col("host") != "", pairs).otherwise(F.array().cast("array<struct<host:string,path:string>>")))
+    none = F.array().cast("array<struct<host:string,path:string>>")
+    listing = placed.select("row", "host", "path", F.when(F.col("host") != "", pairs).otherwise(none).alias("pairs"))
     test = passing(spark, filter_)
-    tested = listing.withColumn("_hit", test(F.transform("_pairs", lambda p: hashed(p["host"], p["path"]))))
-    tested = tested.withColumn("_pairs", F.transform(F.filter(F.arrays_zip("_pairs", "_hit"), lambda x: x["_hit"]), lambda x: x["_pairs"])).drop("_hit")
-    maybe = tested.where(F.size("_pairs") > 0)
+    tested = listing.withColumn("hit", test(F.transform("pairs", lambda p: hashed(p["host"], p["path"]))))
+    tested = tested.withColumn("pairs", F.transform(F.filter(F.arrays_zip("pairs", "hit"), lambda x: x["hit"]), lambda x: x["pairs"])).drop("hit")
+    maybe = tested.where(F.size("pairs") > 0)
     # each (host, path) is joined once, however many pages share it
-    hits = maybe.select("host", "path", F.explode("_pairs").alias("p")).distinct()
+    hits = maybe.select("host", "path", F.explode("pairs").alias("p")).distinct()
     hits = hits.join(listed, (F.col("p.host") == F.col("r_host")) & (F.col("p.path") == F.col("r_path")))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"))
     hits = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("won"))
-    found = maybe.drop("_pairs").join(hits, ["host", "path"], "left").select(*pages.columns, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(otherwise)).alias("verdict"))
-    unlisted = tested.where(F.size("_pairs") == 0).select(*pages.columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    own = [F.col("row").getField(c).alias(c) for c in kept]
+    found = maybe.select("row", "host", "path").join(hits, ["host", "path"], "left").select(*own, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(otherwise)).alias("verdict"))
+    unlisted = tested.where(F.size("pairs") == 0).select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     return found.unionAll(unlisted)
 
 
