@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, table
+from .common import keyed, numbered, table
 
 SHINGLE, SCALE = 5, 4
+#: Rows of a block of neighbouring ids, and the most blocks (2 MB of heads in one task and in all).
+BLOCK_ROWS, MOST_BLOCKS = 1000, 1 << 17
 #: Hexadecimal digits of each hash in a fingerprint's text.
 DIGITS = 11
 
@@ -71,33 +73,49 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
-def beside_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
-    """Each row with ``next``, a struct of the carried columns of the next row by descending doc_id.
+def _even_rows(rows: DataFrame, blocks_of: int, most: int) -> tuple[DataFrame, int, int, int]:
+    """``rows`` with ``_at``, a long in the order of rid, and the least and greatest of it and how many blocks to cut.
 
-    After the last row comes the first. Rows are cut into blocks of neighbouring ids, so no task
-    orders them all; the head of each block is also sent to the block before it. Repeated and null
-    ids are ordered as keyed() says.
+    It is rid itself where rids lie so evenly that blocks of equal width hold about equally many rows. Otherwise
+    rids are replaced by their ranks, which costs a join.
     """
-    rows = keyed(docs).select("row.*", "rid")
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).first()
-    if not ends["n"]:
-        ends = {"n": 1, "lo": 0, "hi": 0}
-    blocks = min(max(ends["n"] // 1000, 1), 100_000)
-    width = (ends["hi"] - ends["lo"]) // blocks + 1
-    # ids may span more than a long holds
-    block = F.floor((F.col("rid").cast("decimal(20,0)") - F.lit(ends["lo"]).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
-    rows = rows.withColumn("_block", block)
-    heads = rows.groupBy("_block").agg(F.max("rid").alias("_head"))
-    # at most 100,000 blocks: one task may order them and every task may hold them
+    n, lo, hi = (ends["n"], ends["lo"], ends["hi"]) if ends["n"] else (1, 0, 0)
+    blocks = min(max(n // blocks_of, 1), most)
+    fullest = rows.groupBy(_block_of(F.col("rid"), lo, hi, blocks).alias("_b")).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if fullest <= 8 * max(blocks_of, n // blocks):
+        return rows.withColumn("_at", F.col("rid")), lo, hi, blocks
+    ranks = numbered(rows.select(F.col("rid").alias("_rid")), [F.col("_rid").asc()], int(max(1, n // 500_000)), "ranks")
+    ranks = ranks.select("_rid", F.col("rid").alias("_at"))
+    return rows.join(ranks, F.col("rid") == F.col("_rid")).drop("_rid"), 0, n - 1, blocks
+
+
+def _block_of(at: Column, lo: int, hi: int, blocks: int) -> Column:
+    width = (hi - lo) // blocks + 1
+    # numbers may span more than a long holds
+    return F.floor((at.cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("long")
+
+
+def beside_next(docs: DataFrame, carried: dict[str, Column], blocks_of: int = BLOCK_ROWS, most: int = MOST_BLOCKS) -> DataFrame:
+    """Each row with ``next``, a struct of the carried columns of the next row by descending doc_id.
+
+    After the last row comes the first. Rows are cut into blocks of neighbouring ids with about ``blocks_of`` rows,
+    however the ids are spread, so no task orders them all; the head of each block is also sent to the block before it.
+    Beyond ``most`` blocks the blocks grow. Repeated and null ids are ordered as keyed() says.
+    """
+    rows, lo, hi, blocks = _even_rows(keyed(docs).select("row.*", "rid"), blocks_of, most)
+    rows = rows.withColumn("_block", _block_of(F.col("_at"), lo, hi, blocks))
+    heads = rows.groupBy("_block").agg(F.max("_at").alias("_head"))
+    # as many rows as blocks: one task may order them and every task may hold them
     down = Window.orderBy(F.desc("_block"))
     heads = heads.select("_head", F.coalesce(F.lag("_block").over(down), F.min("_block").over(Window.partitionBy())).alias("_to"))
     rows = rows.select("*", F.struct(*(c.alias(k) for k, c in carried.items())).alias("_own"))
-    rows = rows.join(F.broadcast(heads), F.col("rid") == F.col("_head"), "left")
+    rows = rows.join(F.broadcast(heads), F.col("_at") == F.col("_head"), "left")
     place = lambda b, g: F.struct(b.alias("block"), F.lit(g).alias("guest"))
     places = F.when(F.col("_head").isNull(), F.array(place(F.col("_block"), False))).otherwise(F.array(place(F.col("_block"), False), place(F.col("_to"), True)))
-    rows = rows.select(*docs.columns, "rid", "_own", F.explode(places).alias("_at"))
-    within = Window.partitionBy("_at.block").orderBy(F.col("_at.guest"), F.desc("rid"))
-    return rows.select("*", F.lead("_own").over(within).alias("next")).where("not _at.guest").drop("_at", "rid").withColumnRenamed("_own", "own")
+    rows = rows.select(*docs.columns, F.col("_at").alias("_turn"), "_own", F.explode(places).alias("_at"))
+    within = Window.partitionBy("_at.block").orderBy(F.col("_at.guest"), F.desc("_turn"))
+    return rows.select("*", F.lead("_own").over(within).alias("next")).where("not _at.guest").drop("_at", "_turn").withColumnRenamed("_own", "own")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
