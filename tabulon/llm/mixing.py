@@ -77,7 +77,7 @@ def pivotal(size: np.ndarray, mass: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["place", "doc_id", "size"], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["place", "n"], kind="stable", ignore_index=True)
     mass = pivotal(pdf["size"].to_numpy(), pdf["mass"].to_numpy(), pdf["place"].to_numpy())
     pdf["mass"] = mass
     pdf["open"] = (mass > 0) & (mass < pdf["size"])
@@ -90,7 +90,7 @@ def _closed(pdf: pd.DataFrame) -> pd.DataFrame:
     Each takes the whole copies that leave the least which the smaller ones cannot make up, and of
     those the nearest to its words and the words owed so far; what that misses is owed by the next.
     """
-    pdf = pdf.sort_values(["size", "place", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["size", "place", "n"], ascending=[False, True, True], kind="stable", ignore_index=True)
     size, base, mass = (pdf[c].to_numpy().astype(float) for c in ("size", "base", "mass"))
     # words that the documents after each could take beyond their mass, or give up
     more = np.r_[np.cumsum(((MOST_COPIES - base) * size - mass)[::-1])[::-1][1:], 0.0]
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: dict | None = None) -> DataFrame:
 
     A document of size words whose source is to give target of its source_size words has
     target / source_size copies to come: the whole part is sure, the rest a probability. Sources,
-    size classes (powers of two) and hashes of doc_id form the leaves of a tree; in each the pivotal
+    size classes (powers of two) and hashes of the row's number form the leaves of a tree; in each the pivotal
     rule pairs documents until one is open, and these residuals meet in the next level, up to the
     source, where the classes' residuals are settled from large to small. A source with most rows is
     just more leaves. Nothing depends on how the rows are stored, so reruns agree.
@@ -138,7 +138,7 @@ def mix_rows(keyed_docs: DataFrame, weights: dict | None = None) -> DataFrame:
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     listed = spark.createDataFrame([(i, s, sizes[s], float(target[s]), target[s] / sizes[s] if sizes[s] else 0.0, -(-found[s]["docs"] // LEAF)) for i, s in enumerate(order)], "s int, source string, source_size long, target double, rate double, leaves long")
     placed = rows.alias("a").join(listed.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("n", "doc_id", "s", "size", "rate", "leaves")
-    place = F.xxhash64("doc_id", "size")
+    place = F.xxhash64("n")
     work = placed.select("n", "doc_id", "s", "size", F.floor("rate").cast("long").alias("base"), ((F.col("rate") - F.floor("rate")) * F.col("size")).alias("mass"), F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int").alias("cls"), place.alias("place"), F.pmod(place, F.col("leaves")).cast("long").alias("bucket"))
     leaves = max(1, -(-max([r["docs"] for r in found.values()], default=1) // LEAF))
     work = work.withColumn("open", F.lit(True))

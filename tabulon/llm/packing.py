@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, released, table, written
+from .common import byte_batches, keyed, released, table, written
 
 #: Tokens of a queue group (one task's share), entries of a worker's unit cache, least tokens a source is served with.
 GROUP_TOKENS, CACHE_UNITS, GRAIN = 1 << 21, 400_000, 128
@@ -94,7 +94,7 @@ _encoders: dict[int, Encoder] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text, source) to (doc_id, source, n_tokens, ids): 16-bit ids, the end id last."""
+    """``docs`` (rid, doc_id, text, source) to (rid, doc_id, source, n_tokens, ids): 16-bit ids, the end id last."""
     with open(tokenizer, encoding="utf-8") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     end = np.array([end_id], np.uint16).tobytes()
@@ -105,10 +105,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         if encode is None:
             encode = _encoders[key] = Encoder(vocabulary.value)
         for batch in byte_batches(batches, 8 << 20):
-            ids = [(encode(t) if t else b"") + end for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
+            ids = [(encode(t) if t else b"") + end for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["rid", "doc_id", "source", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")).mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary")
+    return docs.select("rid", F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")).mapInArrow(run, "rid long, doc_id long, source string, n_tokens long, ids binary")
 
 
 def windows_of(total: int, size: int):
@@ -201,21 +201,23 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, wei
     Columns: doc_id, source, start (ids of the document before the piece), length, ids (binary,
     little-endian 32-bit), doc_tokens, sequence_id and offset. All documents are packed, each followed
     by ``end_id``. Target proportions are each source's share of all tokens unless ``weights`` names
-    others; a source that runs dry leaves its share to the rest. Documents are dealt by hash into
-    groups of about GROUP_TOKENS tokens, so a source with most rows is spread over all of them; what
+    others; a source that runs dry leaves its share to the rest. Documents are dealt by hash of their number
+    by keyed() into groups of about GROUP_TOKENS tokens, so a source with most rows, or rows that share an
+    id or have none, are spread over all of them; what
     each source is owed from the groups before is known from their counts, and carried in. A group's
     last tokens fill windows of powers of two, which need no padding. Null texts are empty documents
     (their end id alone), null sources a source of their own; repeated rows are packed each for itself.
     """
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer, end_id), "tokens")
+    rows = keyed(docs.select("doc_id", "text", "source")).select("rid", "row.*")
+    tokens = written(tokenized(rows, tokenizer, end_id), "tokens")
     by_source = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # a row per source
     total = sum(r["n"] for r in by_source)
     shares = {r["source"]: (weights.get(r["source"], 0.0) if weights else r["n"] / total) for r in by_source}
     scale = sum(shares.values()) or 1.0
     shares = {s: x / scale for s, x in shares.items()}
     groups = max(1, -(-total // GROUP_TOKENS))
-    place = F.xxhash64("doc_id")
+    place = F.xxhash64("rid")
     dealt = tokens.withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(groups)).cast("long"))
     sums = dealt.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("n"))
     every = spark.range(groups).select(F.col("id").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(max(0, len(shares) - 1)))).alias("i"))
