@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, byte_batches, keyed, table, written
+from .common import binary_values, byte_batches, keyed, released, table, written
 from .features import mixed, word_hashes, word_spans
 
 #: Words whose id in the network is theirs alone (the most frequent of the whole corpus), ids that the others
@@ -17,6 +17,8 @@ from .features import mixed, word_hashes, word_spans
 WORDS, SHARED, CLASSES, HIDDEN, REACH = 3072, 1024, 64, 24, 2
 IDS = WORDS + SHARED
 MEMBERS = IDS // CLASSES
+#: Words of a training shard, words whose places are mixed together, and numbers of a network sent as one piece.
+PLACES, RUN, PIECE = 1 << 21, 1 << 16, 1 << 14
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
 
@@ -188,12 +190,51 @@ def shared_id(h: str = "h") -> Column:
     return F.col(h).bitwiseAND(F.lit(SHARED - 1)).cast("int")
 
 
-def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1) -> Model:
+def shard_ids(rows: DataFrame, vocabulary: np.ndarray, rank: np.ndarray, shards: int) -> DataFrame:
+    """``rows`` (rid, text) to a written table (shard, rid, ids): 16-bit ids of all words, dealt to shards by hash of rid."""
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, rank))
+
+    def run(batches):
+        for part in byte_batches(batches, 4 << 20):
+            text, ids, _ = word_ids(*binary_values(part.column(1)), *shared.value)
+            cut = np.searchsorted(text, np.arange(part.num_rows + 1)) * 2
+            raw = pa.py_buffer(ids.astype("<u2").tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), raw])
+            yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["rid", "ids"])
+
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    ids = rows.select("rid", body.alias("body")).mapInArrow(run, "rid long, ids binary").where(F.octet_length("ids") > 0)
+    return written(ids.select(F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("long").alias("shard"), "rid", "ids"), "ids")
+
+
+def train_shard(start: Net, rid: np.ndarray, texts: list[np.ndarray], turn: int, rounds: int, batch: int, rate: float) -> tuple[Net, int]:
+    """The network after one pass over the round's places of a shard's texts, in the order of rid, and how many there were."""
+    trainer, places = Trainer(start, rate), 0
+    order = np.argsort(rid, kind="stable")
+    sizes = np.array([len(texts[i]) for i in order])
+    part = (np.cumsum(sizes) - sizes) // RUN  # whole texts, RUN words or more at once
+    for p in np.unique(part):
+        own = order[part == p]
+        ids = np.concatenate([texts[i] for i in own]).astype(np.int64)
+        text = np.repeat(np.arange(len(own)), [len(texts[i]) for i in own])
+        around = surroundings(text, ids)
+        chosen = round_places(rid[own], text, turn, rounds)
+        mix = chosen[np.argsort(mixed(np.arange(len(chosen), dtype=np.uint64)))]
+        for lo in range(0, len(mix), batch):
+            some = mix[lo : lo + batch]
+            trainer.step(around[:, some], ids[some])
+        places += len(chosen)
+    return trainer.net, places
+
+
+def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1, places: int = PLACES) -> Model:
     """Counts the words of all texts, then trains on every place of every text, each in one of the rounds.
 
-    Each round, every task trains the common network on the round's places of its own texts; the tasks' parameters are
-    averaged by the places they saw, on the executors, and become the next round's network. What is
-    trained on and sent grows with the corpus; what reaches the driver is one network.
+    Texts are dealt by hash to shards of about ``places`` words, which depend on nothing but the corpus. In each
+    round every shard trains the common network on its texts, one after another; the shards' parameters are
+    averaged by the places they saw, on the executors and in the order of shards, and become the next
+    round's network, so reruns agree however the corpus is stored. What is trained on and sent grows with the
+    corpus; what reaches the driver is one network.
     """
     spark = docs.sparkSession
     counts = written(word_counts(docs), "words")
@@ -204,61 +245,38 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1
     shared_counts = np.zeros(SHARED, np.int64)
     for row in counts.groupBy(shared_id().alias("i")).agg(F.sum("n").alias("n")).collect():
         shared_counts[row["i"]] = row["n"]
+    words = int(shared_counts.sum())
     np.subtract.at(shared_counts, (top % np.uint64(SHARED)).astype(np.int64), most.column("n").to_numpy())
     net = new_net()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, rank, net))
-
-        def run(batches):
-            vocabulary, rank, start = shared.value
-            trainer, places, pending = Trainer(start, rate), 0, []
-            for part in byte_batches(batches, 4 << 20):
-                text, ids, _ = word_ids(*binary_values(part.column(1)), vocabulary, rank)
-                if not len(ids):
-                    continue
-                around = surroundings(text, ids)
-                chosen = round_places(part.column(0).to_numpy(), text, turn, rounds)
-                pending.append((around[:, chosen], ids[chosen]))
-                if sum(len(x[1]) for x in pending) >= 1 << 16:
-                    places += visit(trainer, pending)
-                    pending = []
-            places += visit(trainer, pending)
-            if places:
-                for k, p in enumerate(trainer.net.parts()):
-                    flat = p.ravel().astype(float) * places
-                    for lo in range(0, len(flat), 16384):
-                        piece = flat[lo : lo + 16384]
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lo], pa.int64()), pa.array([places], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["k", "lo", "places", "piece"])
-
-        def visit(trainer, pending):
-            if not pending:
-                return 0
-            around = np.concatenate([x[0] for x in pending], axis=1)
-            ids = np.concatenate([x[1] for x in pending])
-            mix = np.argsort(mixed(np.arange(len(ids), dtype=np.uint64)))
-            for lo in range(0, len(ids), batch):
-                some = mix[lo : lo + batch]
-                trainer.step(around[:, some], ids[some])
-            return len(ids)
+    shards = max(1, -(-words // places))
+    table_ = shard_ids(keyed(docs.select("doc_id", "text")).select("rid", "row.text"), vocabulary, rank, shards)
+    released(spark)
+    for turn in range(rounds if words else 0):
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.combine_chunks()
+            texts = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("ids")]
+            trained, seen = train_shard(shared.value, rows.column("rid").to_numpy(), texts, turn, rounds, batch, rate)
+            flat = [(k, lo, p.ravel()[lo : lo + PIECE]) for k, p in enumerate(trained.parts()) for lo in range(0, p.size, PIECE)]
+            n, shard = len(flat), rows.column("shard")[0].as_py()
+            return pa.table({"k": pa.array([f[0] for f in flat], pa.int32()), "lo": pa.array([f[1] for f in flat], pa.int64()), "shard": pa.array([shard] * n, pa.int64()), "places": pa.array([seen] * n, pa.int64()), "piece": pa.array([(f[2].astype(float) * seen).astype(np.float32).tobytes() for f in flat], pa.binary())})
 
         def add(rows: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x) for x in rows.column("piece").to_pylist())
-            return pa.table({"k": rows.column("k")[:1], "lo": rows.column("lo")[:1], "places": pa.array([sum(rows.column("places").to_pylist())], pa.int64()), "piece": pa.array([total.tobytes()], pa.binary())})
-
-        schema = "k int, lo long, places long, piece binary"
-        pieces = texts.mapInArrow(run, schema)
-        # a first sum over at most 64 tasks' pieces each, then the sum of these
-        pieces = pieces.withColumn("part", F.floor(F.spark_partition_id() / 64))
+            rows = rows.sort_by("shard")
+            total = sum(np.frombuffer(x, np.float32).astype(float) for x in rows.column("piece").to_pylist())
+            return pa.table({"k": rows.column("k")[:1], "lo": rows.column("lo")[:1], "shard": rows.column("shard")[:1], "places": pa.array([sum(rows.column("places").to_pylist())], pa.int64()), "piece": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+        schema = "k int, lo long, shard long, places long, piece binary"
+        pieces = table_.groupBy("shard").applyInArrow(run, schema)
+        # a first sum over at most 64 shards' pieces each, then the sum of these
+        pieces = pieces.withColumn("part", F.floor(F.col("shard") / 64))
         pieces = pieces.groupBy("k", "lo", "part").applyInArrow(lambda t: add(t), schema).groupBy("k", "lo").applyInArrow(lambda t: add(t), schema)
         parts = [np.zeros(p.size) for p in net.parts()]
-        total = 0
         for row in pieces.toArrow().to_pylist():
-            piece = np.frombuffer(row["piece"])
-            parts[row["k"]][row["lo"] : row["lo"] + len(piece)] = piece / row["places"]
-            total = row["places"]
-        if total:
-            net = Net(*(p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.parts())))
+            piece = np.frombuffer(row["piece"], np.float32).astype(float)
+            parts[row["k"]][row["lo"] : row["lo"] + len(piece)] = piece / max(row["places"], 1)
+        net = Net(*(p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.parts())))
     return Model(vocabulary, rank, net, counts, shared_counts)
 
 
