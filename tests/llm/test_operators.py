@@ -115,13 +115,14 @@ def test_cut_texts_keep_whole_characters(docs):
 # -- SimHash
 
 
-def plain_simhash(text, shingle=4):
+def plain_simhash(text, shingle=4, repeats=True):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
         return 0
     k = min(shingle, len(words))
     h = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)]
+    h = h if repeats else sorted(set(h))
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -151,24 +152,63 @@ def test_hamming_links_cut_groups_and_chains(spark):
         chain.append(chain[-1] ^ (0b1111 << (4 * i)))
     ball = [(5 << 40) ^ (1 << a) ^ (1 << b) for a in range(16) for b in range(16, 30)]
     prints = sorted({*chain, *ball})
-    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, id long")
     links = simhash.hamming_links(df, 4, group_cap=20, rows_per_task=300).collect()
     from tabulon.llm.components import connected
 
     roots = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert {roots[p] for p in chain} == {min(chain)} and {roots[p] for p in ball} == {min(ball)}
+    at = {p: i for i, p in enumerate(prints)}
+    assert {roots[at[p]] for p in chain} == {at[min(chain)]} and {roots[at[p]] for p in ball} == {at[min(ball)]}
 
 
 def test_near_dedup(docs, repeated):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in plain_groups([(i, t) for i, t, _, _ in texts()])})
-    twice = Counter(r["doc_id"] for r in simhash.near_dedup(repeated).collect())
-    assert twice.pop(None) == 2 and set(twice.values()) == {1}
+    for df in (docs, repeated):
+        rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+        prints = np.array([plain_simhash(t) for _, t in rows], np.uint64)
+        pairs = [(i, j) for i in range(len(rows)) for j in range(i) if bin(int(prints[i] ^ prints[j])).count("1") <= 4]
+        label = components(len(rows), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
+        want = [rows[i] for i in range(len(rows)) if label[i] == i]
+        assert sorted(((r["doc_id"], r["text"]) for r in simhash.near_dedup(df).collect()), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("chunk", [2000, 7])
-def test_near_copies_are_confirmed(spark, chunk):
+def test_near_dedup_of_rows_without_ids(spark):
+    rows = [(None, prose(60, 50)), (None, prose(60, 50)), (None, prose(61, 50)), (7, prose(61, 50)), (8, prose(62, 50))]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1, 8, 0.8, repeats=False).collect()
+    assert sorted(map(tuple, kept), key=key) == sorted([rows[0], rows[3], rows[4]], key=key)
+
+
+def test_a_giant_component_and_hot_keys(spark, monkeypatch):
+    from tabulon.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    base = prose(70, 60).split()
+    rows = [(i, " ".join([*base, f"tail{i % 40}"])) for i in range(200)] + [(1000 + i, prose(300 + i, 60)) for i in range(40)] + [(2000 + i, "") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.simhash_groups(df).collect()), key=key)
+    assert got == plain_groups(rows)
+    twice = spark.createDataFrame([*rows, *rows[:20], (None, rows[3][1])], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.simhash_groups(twice).collect()), key=key)
+    assert got == plain_groups([*rows, *rows[:20], (None, rows[3][1])])
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(df, 1, 8, 5, 0.8, chunk_texts=6, repeats=False).collect()}
+    assert {groups[i] for i in range(200)} == {0} and len({groups[1000 + i] for i in range(40)}) == 40 and {groups[2000 + i] for i in range(30)} == {2000}
+
+
+def test_numbering_cannot_be_held_up_by_rows_that_agree(spark):
+    from tabulon.llm.common import keyed
+
+    df = spark.createDataFrame([(5, "same", i % 3) for i in range(300)] + [(None, None, 1)] * 50 + [(4, "first", 0)], "doc_id long, text string, rid int").repartition(7)
+    rows = keyed(df).orderBy("rid").collect()
+    assert [r["rid"] for r in rows] == list(range(351))
+    assert [r["row"]["doc_id"] for r in rows] == [4] + [5] * 300 + [None] * 50
+    like = [r["row"]["rid"] for r in rows[1:301]]
+    assert len({(a, b) for a, b in zip(like, like[1:])}) <= 3 + 2  # rows alike in all stand together
+
+
+@pytest.mark.parametrize("chunk, shingle, repeats", [(2000, 2, True), (7, 2, True), (3, 1, False)])
+def test_near_copies_are_confirmed(spark, chunk, shingle, repeats):
     random = np.random.default_rng(4)
     rows = []
     for base in range(6):
@@ -184,7 +224,7 @@ def test_near_copies_are_confirmed(spark, chunk):
         w = (t or "").lower().split()
         return {" ".join(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
 
-    sets, prints = [shingles(t) for _, t in rows], [plain_simhash(t, 2) for _, t in rows]
+    sets, prints = [shingles(t) for _, t in rows], [plain_simhash(t, shingle, repeats) for _, t in rows]
     pairs, linked = [], 0
     for i in range(len(rows)):
         for j in range(i):
@@ -195,9 +235,9 @@ def test_near_copies_are_confirmed(spark, chunk):
     assert 10 < len(pairs) < linked
     want = components(len(rows), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])).tolist()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(df, 2, 8, 5, 0.8, chunk_texts=chunk).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(df, shingle, 8, 5, 0.8, chunk_texts=chunk, repeats=repeats).collect()}
     assert [got[i] for i in range(len(rows))] == want
-    assert sorted(r["doc_id"] for r in simhash.near_dedup(df, 2, 8, 0.8).collect()) == sorted(set(want))
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(df, shingle, 8, 0.8, repeats=repeats).collect()) == sorted(set(want))
 
 
 def test_near_dedup_keeps_different_texts_of_one_id(spark):
@@ -245,6 +285,24 @@ def test_blocks_of_spread_ids(spark):
     assert got == dict(zip(down, [*down[1:], down[0]]))
 
 
+def test_one_far_id_and_null_ids_do_not_fill_a_block(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 50)
+    far = spark.createDataFrame([(i, f"t{i}") for i in [*range(2000), 10**15]], "doc_id long, text string")
+    nulls = spark.createDataFrame([(None, f"t{i}") for i in range(2000)], "doc_id long, text string")
+    for df in (far, nulls):
+        rows, lo, hi, blocks = fingerprints._even_rows(fingerprints.keyed(df).select("row.*", "rid"), 50, 1 << 17)
+        fullest = rows.groupBy(fingerprints._block_of(F.col("_at"), lo, hi, blocks)).count().agg(F.max("count")).first()[0]
+        assert fullest <= 100
+    got = {r["doc_id"]: r["next"]["id"] for r in fingerprints.beside_next(far, {"id": F.col("doc_id")}, 50).collect()}
+    down = sorted(got, reverse=True)
+    assert got == dict(zip(down, [*down[1:], down[0]]))
+    texts_ = [r["text"] for r in nulls.orderBy("text").collect()]
+    got = {r["text"]: r["next"]["t"] for r in fingerprints.beside_next(nulls, {"t": F.col("text")}, 50).collect()}
+    assert got == dict(zip(texts_[::-1], [*texts_[::-1][1:], texts_[-1]]))
+
+
 def test_likeness_and_containment(spark):
     from pyspark.sql import functions as F
 
@@ -330,6 +388,19 @@ def test_packing_is_an_exact_round_trip(name, request, monkeypatch):
     assert sum(r["length"] for r in rows) == sum(len(ids) * c for (_, ids), c in want.items())
 
 
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    """Null and repeated ids fall into as many groups of packing, and leaves of mixing, as other rows."""
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 512)
+    monkeypatch.setattr(mixing, "LEAF", 16)
+    rows = [(None, "same words here", "en", "a")] * 300 + [(5, "same words here", "en", "a")] * 300
+    pieces = packed(frame(spark, rows))
+    groups = Counter(r["sequence_id"] >> 32 for r in pieces)
+    assert len(groups) >= 4 and max(groups.values()) < 0.6 * len(pieces)
+    assert sum(r["start"] == 0 for r in pieces) == 600
+    mixed = mixing.mix(frame(spark, rows)).collect()
+    assert len(mixed) == 600 and sum(r["taken"] for r in mixed) == 1800
+
+
 # -- classifiers and scores
 
 
@@ -370,6 +441,36 @@ def test_classifiers_on_odd_rows(spark, module, repeated, none):
     assert module.scored(none, labels).count() == 0
 
 
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, [(i % 20, f"text {i} of {i % 20}", "en", "a") for i in range(4000)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    sample = quality.labelled_sample(df, labels, "quality", F.lit(False), 10)
+    assert sample.count() == 10 == sample.select("doc_id").distinct().count()
+    again = quality.labelled_sample(df.repartition(3), labels, "quality", F.lit(False), 10)
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, again.collect()))
+    small = quality.labelled_sample(df, labels, "quality", F.lit(False), 10, most_bytes=50).select(F.sum(F.octet_length("text"))).first()[0]
+    assert 0 < small <= 50
+
+
+def test_pseudo_likelihood_does_not_depend_on_how_texts_are_stored(spark, repeated):
+    rows = [(i, prose(400 + i, 80), "en", "a") for i in range(120)]
+    some = frame(spark, rows)
+    models = [pseudolikelihood.train(some.repartition(n), batch=256, places=2000) for n in (2, 7)]
+    for a, b in zip(models[0].net.parts(), models[1].net.parts()):
+        assert np.array_equal(a, b)
+    # repeated rows, null ids and extra columns with the operator's own names
+    odd = repeated.selectExpr("*", "1 AS h", "2 AS word", "3 AS value", "4 AS n_words", "5 AS _s", "6 AS _h")
+    out = pseudolikelihood.scored(odd, models[0])
+    got = out.collect()
+    assert len(got) == repeated.count() and out.columns.count("n_words") == 1 and all(r["_s"] == 5 and r["h"] == 1 for r in got)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r["text"]].add(r["log_likelihood"])
+    assert all(max(v) - min(v) <= 1e-5 * abs(min(v)) for v in by_text.values())
+
+
 def test_pseudo_likelihood(spark, docs, none):
     order = "one two three four five six seven eight".split()
     rows = [(i, " ".join(order[(i + k) % 8] for k in range(60)), "en", "a") for i in range(300)]
@@ -460,6 +561,21 @@ def test_url_rules(spark):
     assert urls.judged(pages.limit(0), spark.createDataFrame(urls.RULES, "host string, path string, verdict string")).count() == 0
 
 
+def test_urls_with_clashing_columns_and_without_end(spark):
+    import time
+
+    names = ("won", "row", "labels", "pairs", "hit", "r_host", "host", "verdict", "_pairs")
+    some = [*URLS[:4], "http://" + "a." * 400_000 + "net/x", "http://a.net/" + "en/" * 300_000, "x" * 1_000_000, "http://" + "b" * 1_000_000 + ".org/fr/" + "?" * 1000]
+    pages = spark.createDataFrame([(i, u, *names) for i, u in enumerate(some)], ["page_id", "url", *names])
+    began = time.time()
+    rows = urls.judged(pages, spark.createDataFrame(urls.RULES, "host string, path string, verdict string")).collect()
+    assert time.time() - began < 30
+    for r in rows:
+        host, path, rule, verdict = plain_verdict(some[r["page_id"]], urls.RULES)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict) and r["won"] == "won" and r["row"] == "row"
+    assert len(rows) == len(some)
+
+
 def test_bloom_filter_never_misses(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) AS h")
     bits = urls.bloom_filter(keys)
@@ -496,6 +612,9 @@ def test_nearest(spark):
         assert [x[2] for x in got[q]] == list(range(1, 21))
         assert np.allclose([x[1] for x in got[q]], [vectors[x[0]] @ vectors[q] for x in got[q]], rtol=0, atol=1e-12)
     assert hits / 600 >= 0.95
+    repeated = df.where("vec_id < 50").unionAll(df.where("vec_id < 10"))  # an id that several rows have counts once
+    found = neighbours.nearest(repeated, repeated.where("vec_id = 0"), k=5).collect()
+    assert sorted(r["rank"] for r in found) == [1, 2, 3, 4, 5] and len({r["vec_id"] for r in found}) == 5 and all(r["vec_id"] != 0 for r in found)
     few = neighbours.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).collect()
     assert len(few) == 4
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
