@@ -8,18 +8,27 @@ from __future__ import annotations
 
 import hmac
 import json
+import threading
 from typing import Any
 
 from tabulon import errors
-from tabulon.errors import SqlError
+from tabulon.errors import BusyError, SqlError
 from tabulon.session import Engine, Result
 
 
 class Service:
     def __init__(self, engine: Engine, auth_key: str = ""):
         self.engine, self.auth_key = engine, auth_key
+        self.open = 0
+        self.lock = threading.Lock()
 
     def connection(self) -> Connection:
+        """A new connection; one too many is turned away at once."""
+        most = self.engine.limits.max_connections
+        with self.lock:
+            if most and self.open >= most:
+                raise BusyError("server busy: too many connections")
+            self.open += 1
         return Connection(self)
 
 
@@ -27,6 +36,20 @@ class Connection:
     def __init__(self, service: Service):
         self.service = service
         self.session = service.engine.session()
+        self.closed = False
+
+    def close(self) -> None:
+        """Gives the place free; a transaction that is open is dropped."""
+        with self.service.lock:
+            self.service.open -= not self.closed
+            self.closed = True
+        self.session = self.service.engine.session()
+
+    def __enter__(self) -> Connection:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.close()
 
     def handle(self, request: dict[str, Any]) -> Any:
         """Answers {sql, params} or {sqls, atomic}, with auth where a key is set; ping needs none.
