@@ -15,7 +15,7 @@ from tabulon.sources.catalog import SEQ, Catalog, TableState, empty_table, schem
 from tabulon.sources.versions import written_version
 
 from .predicates import quoted, term
-from .select import compile_select, result_kinds
+from .select import compile_select, in_order, result_kinds, rows_in_order
 
 #: Mutations after which a table's rows are written, so that plans stay short.
 STEPS = 8
@@ -162,23 +162,21 @@ def _has_key(table: TableState, values: list[Any]) -> Column:
 def _insert(table: TableState, node: ast.Insert, catalog: Catalog) -> tuple[TableState, Change]:
     spark = table.df.sparkSession
     if node.query is not None:
-        batch = _selected(table, node.query, catalog)
-        count = batch.count()
+        batch, count, top = _selected(table, node.query, catalog)
         keys = None
     else:
         rows = _literal_rows(table, node)
         count = len(rows)
         keys = [r[table.names.index(table.primary.name)] for r in rows] if table.primary is not None else None
-        batch = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema_of(table.columns))
+        batch, top = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema_of(table.columns)), count - 1
     if not count:
         return table, Change()
     table = table.numbered()
-    top = batch.agg(F.max(SEQ)).first()[0] if keys is None else count - 1
     batch = batch.withColumn(SEQ, F.col(SEQ) + F.lit(table.next_seq))
     if table.primary is None:
         merged = table.df.unionByName(batch)
     elif node.replace:
-        merged = _upserted(table, batch)
+        merged = _upserted(table, batch, keys is not None)
     else:
         _check_new(table, batch, keys)
         merged = table.df.unionByName(batch)
@@ -198,26 +196,57 @@ def _literal_rows(table: TableState, node: ast.Insert) -> list[tuple]:
     return out
 
 
-def _selected(table: TableState, query: ast.Select, catalog: Catalog) -> DataFrame:
-    """A query's rows in the table's types, numbered in their order; written, so that numbers and sources stand still."""
+def _selected(table: TableState, query: ast.Select, catalog: Catalog) -> tuple[DataFrame, int, int]:
+    """A query's rows in the table's types, numbered in their order, how many there are and the greatest number.
+
+    They are written, so that numbers and sources stand still. Rows in insertion order keep the numbers that they have, unsorted.
+    """
     source = catalog.table(query.table)
-    rows = compile_select(query, source)
     kinds = result_kinds(query, source)
+    names = [f"__{i}" for i in range(len(kinds))]
+    if in_order(query):
+        rows = rows_in_order(query, source.numbered(), names)
+    else:
+        rows = compile_select(query, source).toDF(*names).withColumn(SEQ, F.monotonically_increasing_id())
     if len(kinds) != len(table.columns):
         raise SqlError("column count mismatch")
-    rows = rows.toDF(*(f"__{i}" for i in range(len(kinds)))).withColumn(SEQ, F.monotonically_increasing_id())
     rows = written_version(rows, table.name)
     out, wrong = [], F.lit(False)
     for i, (kind, c) in enumerate(zip(kinds, table.columns)):
         value, bad = _coerced(F.col(f"__{i}"), kind, c.type)
         out.append(value.alias(c.name))
         wrong = wrong | bad
-    if rows.where(wrong).limit(1).count():
+    empty = F.lit(False)
+    if table.primary is not None and table.primary.type == "TEXT":
+        empty = F.coalesce(out[table.names.index(table.primary.name)] == "", F.lit(False))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(SEQ), F.lit(-1)).alias("top"), F.count_if(wrong).alias("wrong"), F.count_if(empty).alias("empty")).first()
+    if found["wrong"]:
         raise SqlError("type mismatch")
-    batch = rows.select(*out, SEQ)
-    if table.primary is not None and table.primary.type == "TEXT" and batch.where(quoted(table.primary.name) == "").limit(1).count():
+    if found["empty"]:
         raise SqlError("primary key required")
-    return batch
+    return rows.select(*out, SEQ), found["n"], found["top"]
+
+
+def _float_text(c: Column) -> Column:
+    """A double as its shortest decimal text: plain from 0.0001 to below 1e6, else with an exponent of two digits at least."""
+    size = F.abs(c)
+    java = size.cast("string")  # plain from 0.001 to below 1e7, else d.dddE[-]d
+    head = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
+    digits = F.rtrim(F.translate(head, ".", ""), F.lit("0"))
+    point = lambda d: F.concat(F.substring(d, 1, 1), F.when(F.length(d) > 1, F.concat(F.lit("."), F.substring(d, 2, 400))).otherwise(""))
+    power = F.substring_index(java, "E", -1).try_cast("int")
+    sign = F.when(power < 0, "-").otherwise("+")
+    text = (
+        F.when(F.isnan(c), "NaN")
+        .when(size == float("inf"), "Inf")
+        .when(size == 0, "0")
+        .when((size >= 1e-3) & (size < 1e6), head)
+        .when((size >= 1e-4) & (size < 1e-3), F.concat(F.lit("0.000"), digits))
+        .when((size >= 1e6) & (size < 1e7), F.concat(point(digits), F.lit("e+06")))
+        .otherwise(F.concat(head, F.lit("e"), sign, F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string")))
+    )
+    minus = F.when(F.isnan(c), "").when(c.cast("string").startswith("-"), "-").when(size == float("inf"), "+").otherwise("")
+    return F.when(c.isNotNull(), F.concat(minus, text))
 
 
 def _coerced(c: Column, kind: str, to: str) -> tuple[Column, Column]:
@@ -227,7 +256,7 @@ def _coerced(c: Column, kind: str, to: str) -> tuple[Column, Column]:
     if kind == to:
         return c.cast(target), no
     if to == "TEXT":
-        return c.cast("string"), no
+        return _float_text(c.cast("double")) if kind == "FLOAT" else c.cast("string"), no
     if kind == "INT" and to == "FLOAT":
         return c.cast(target), no
     if kind == "FLOAT" and to == "INT":
@@ -253,16 +282,20 @@ def _check_new(table: TableState, batch: DataFrame, keys: list[Any] | None) -> N
         return
     own = batch.select(table.key().alias("__key"))
     twice = own.groupBy("__key").count().where("count > 1").limit(1).count()
-    if twice or table.rows(False).select(table.key().alias("__key")).join(own, "__key", "left_semi").limit(1).count():
+    old = table.rows(False).select(table.key().alias("__old"))
+    if twice or old.join(own, F.col("__old").eqNullSafe(F.col("__key")), "left_semi").limit(1).count():
         raise SqlError("duplicate primary key")
 
 
-def _upserted(table: TableState, batch: DataFrame) -> DataFrame:
+def _upserted(table: TableState, batch: DataFrame, literal: bool) -> DataFrame:
     """The last row of a key wins; it stands where the key's row stood, or first came up in the batch."""
     by_key = Window.partitionBy("__key")
     new = batch.withColumn("__key", table.key())
     new = new.withColumn("__first", F.min(SEQ).over(by_key)).withColumn("__turn", F.row_number().over(by_key.orderBy(F.desc(SEQ)))).where("__turn = 1")
-    old = table.df.select(table.key().alias("__key"), F.col(SEQ).alias("__old"))
-    placed = new.join(old, "__key", "left").select("__key", *map(quoted, table.names), F.coalesce("__old", "__first").alias(SEQ))
-    kept = table.df.withColumn("__key", table.key()).join(new.select("__key"), "__key", "left_anti")
-    return kept.select(*map(quoted, table.names), SEQ).unionByName(placed.select(*map(quoted, table.names), SEQ))
+    # a statement's own rows are as few as it spells out
+    few = F.broadcast if literal else lambda df: df
+    old = table.df.select(table.key().alias("__k"), F.col(SEQ).alias("__old"))
+    old = old.join(few(new.select(F.col("__key").alias("__n"))), F.col("__k").eqNullSafe(F.col("__n")), "left_semi")
+    placed = new.join(few(old) if literal else old, F.col("__key").eqNullSafe(F.col("__k")), "left").select(*map(quoted, table.names), F.coalesce("__old", "__first").alias(SEQ))
+    kept = table.df.withColumn("__k", table.key()).join(few(new.select("__key")), F.col("__k").eqNullSafe(F.col("__key")), "left_anti")
+    return kept.select(*map(quoted, table.names), SEQ).unionByName(placed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +52,33 @@ def _cut(df: DataFrame, q: Select) -> DataFrame:
     return df.limit(q.limit) if q.limit is not None else df
 
 
+def _first_files(df: DataFrame, table: TableState, rows: int) -> DataFrame:
+    """The part of a scan in insertion order that surely holds its first ``rows`` rows: the first files, as many as it takes.
+
+    Files are read in the order of their paths, four times as many each time, and only their matching rows are counted.
+    """
+    if not table.from_files:
+        return df
+    # the two ways in which Spark spells a path without a host
+    files = sorted(re.sub(r"^(\w+):///", r"\1:/", f) for f in table.df.inputFiles())
+    if any("%" in f for f in files):  # a path whose two spellings may differ
+        return df
+    many = 1
+    while many < len(files):
+        part = df.where(F.col(SEQ)["file_path"] <= files[many - 1])
+        if part.limit(rows).count() >= rows:
+            return part
+        many *= 4
+    return df
+
+
 def output_names(q: Select, table: TableState) -> list[str]:
     if q.items == ("*",):
         return table.names
     return [i.name if isinstance(i, Aggregate) else i for i in q.items]
 
 
-def compile_select(q: Select, table: TableState, ordered: bool = True, keep_seq: bool = False) -> DataFrame:
+def compile_select(q: Select, table: TableState, ordered: bool = True) -> DataFrame:
     """The plan of a query. Without ``ordered``, rows come in any order where the query names none and cuts none."""
     if q.group_by:
         return _grouped(q, table, ordered)
@@ -64,7 +86,7 @@ def compile_select(q: Select, table: TableState, ordered: bool = True, keep_seq:
         raise SqlError(f"ORDER BY column not found: {q.order_by}")
     if q.aggregates:
         return _aggregated(q, table)
-    return _plain(q, table, ordered, keep_seq)
+    return _plain(q, table, ordered)
 
 
 def _filtered(q: Select, table: TableState, ordered: bool) -> DataFrame:
@@ -72,12 +94,12 @@ def _filtered(q: Select, table: TableState, ordered: bool) -> DataFrame:
     return df.where(predicate(q.where, table.kinds)) if q.where is not None else df
 
 
-def _plain(q: Select, table: TableState, ordered: bool, keep_seq: bool) -> DataFrame:
+def _plain(q: Select, table: TableState, ordered: bool) -> DataFrame:
     names = output_names(q, table)
     for name in names:
         _check_column(name, table)
     cut = q.limit is not None or q.offset > 0
-    needs_seq = ordered or cut or q.order_by is not None or keep_seq
+    needs_seq = ordered or cut or q.order_by is not None
     df = _filtered(q, table, needs_seq)
     key = q.order_by
     if q.distinct:
@@ -94,11 +116,23 @@ def _plain(q: Select, table: TableState, ordered: bool, keep_seq: bool) -> DataF
         by = [F.col(SEQ).asc()]
         if key is not None:
             by.insert(0, sort_keys(key, table.kinds[key], q.descending))
+        elif q.limit is not None and not q.distinct:
+            df = _first_files(df, table, q.offset + q.limit)
         df = _cut(df.orderBy(*by), q)
-    out = [quoted(n).alias(n) for n in names]
-    if keep_seq:
-        out.append(F.col(SEQ))
-    return df.select(*out)
+    return df.select(*(quoted(n).alias(n) for n in names))
+
+
+def in_order(q: Select) -> bool:
+    """Whether a query gives rows of the table, all that fit, in insertion order."""
+    return not (q.group_by or q.aggregates or q.distinct or q.order_by or q.offset) and q.limit is None
+
+
+def rows_in_order(q: Select, table: TableState, names: list[str]) -> DataFrame:
+    """The rows of such a query under other names, with the numbers that they have, unsorted."""
+    own = output_names(q, table)
+    for name in own:
+        _check_column(name, table)
+    return _filtered(q, table, True).select(*(quoted(n).alias(a) for n, a in zip(own, names)), F.col(SEQ))
 
 
 def _aggregated(q: Select, table: TableState) -> DataFrame:

@@ -68,9 +68,12 @@ class TableState:
         return replace(self, df=rows, next_seq=start, from_files=False)
 
     def key(self) -> Column:
-        """The text that identifies a row by its primary key."""
+        """What identifies a row by its primary key, compared null-safely: the column itself where equal values read alike."""
         assert self.primary is not None
-        return F.coalesce(quoted(self.primary.name).cast("string"), F.lit(NULL_KEY))
+        c = quoted(self.primary.name)
+        if self.primary.type in ("INT", "BOOL"):
+            return c
+        return F.coalesce(c.cast("string"), F.lit(NULL_KEY))
 
 
 def schema_of(columns: tuple[ColumnDef, ...]) -> T.StructType:
