@@ -167,11 +167,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return keyed_and_known(docs)[0]
 
 
-def keyed_and_known(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """keyed(), and whether ``rid`` is doc_id."""
+def keyed_and_known(docs: DataFrame, numbers: bool = True) -> tuple[DataFrame, bool]:
+    """keyed(), and whether ``rid`` is doc_id. Without ``numbers`` rows that need them are left without ``rid``."""
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k"), F.countDistinct("doc_id").alias("d")).first()
     if n["n"] == n["d"] == n["k"]:
         return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("rid")), True
+    if not numbers:
+        return docs.select(F.struct("*").alias("row")), False
     hashable = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in hashable)).alias("_like"), F.monotonically_increasing_id().alias("_tie"))
     order = [F.col("row.doc_id").asc_nulls_last(), F.col("row.text").asc_nulls_first(), F.col("_like").asc(), F.col("_tie").asc()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, keyed, released, table, written
+from .common import byte_batches, keyed_and_known, released, table, written
 
 #: Tokens of a queue group (one task's share), entries of a worker's unit cache, least tokens a source is served with.
 GROUP_TOKENS, CACHE_UNITS, GRAIN = 1 << 21, 400_000, 128
@@ -201,15 +201,17 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, wei
     Columns: doc_id, source, start (ids of the document before the piece), length, ids (binary,
     little-endian 32-bit), doc_tokens, sequence_id and offset. All documents are packed, each followed
     by ``end_id``. Target proportions are each source's share of all tokens unless ``weights`` names
-    others; a source that runs dry leaves its share to the rest. Documents are dealt by hash of their number
-    by keyed() into groups of about GROUP_TOKENS tokens, so a source with most rows, or rows that share an
-    id or have none, are spread over all of them; what
+    others; a source that runs dry leaves its share to the rest. Documents are dealt by hash of their id, or
+    where ids repeat or lack of their place in the table, into groups of about GROUP_TOKENS tokens, so a source with most rows, or rows that share
+    an id or have none, are spread over all of them; what
     each source is owed from the groups before is known from their counts, and carried in. A group's
     last tokens fill windows of powers of two, which need no padding. Null texts are empty documents
     (their end id alone), null sources a source of their own; repeated rows are packed each for itself.
     """
     spark = docs.sparkSession
-    rows = keyed(docs.select("doc_id", "text", "source")).select("rid", "row.*")
+    rows, known = keyed_and_known(docs.select("doc_id", "text", "source"), numbers=False)
+    # rows that share an id need no order here, only numbers of their own
+    rows = rows.select("rid" if known else F.monotonically_increasing_id().alias("rid"), "row.*")
     tokens = written(tokenized(rows, tokenizer, end_id), "tokens")
     by_source = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # a row per source
     total = sum(r["n"] for r in by_source)
