@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Vectors of a shard, queries searched together, out-edges, beam of building and of searching, relaxation.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 1024, 32, 48, 96, 1.2
+#: Vectors of a shard at most, and queries that a task searches one shard for.
+SHARD, BLOCK = 1 << 16, 1 << 14
+#: Out-edges that pruning leaves, places more that reverse edges may fill before it, beams of building and of
+#: searching, nodes expanded in one step of a search, nodes added in one step of building, relaxation.
+DEGREE, SLACK, BUILD_BEAM, SEARCH_BEAM, EXPAND, STEP, ALPHA = 28, 16, 40, 288, 4, 256, 1.2
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -25,53 +28,60 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(square.max(initial=0.0) - square, 0))[:, None]], axis=1).astype(np.float32)
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int):
-    """Greedy search of many queries in step. Returns the beam's node numbers (nearest first) and all expanded nodes.
+def beam_search(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, expand: int = EXPAND):
+    """Greedy search of many queries in step. Returns the beam's node numbers (nearest first; -1: none) and all expanded nodes.
 
-    Each step expands every query's nearest node that is not expanded yet, scores its neighbours and
-    keeps the best ``beam``. A query ends when its whole beam is expanded. -1 fills free places.
+    Each step expands every query's nearest ``expand`` nodes that are not expanded yet, scores their new
+    neighbours and keeps the best ``beam``. A query ends when its whole beam is expanded.
     """
     n, q = len(points), len(queries)
     beam = min(beam, n)
+    expand = min(expand, beam)
     width = max(beam, len(entry))
-    nodes = np.full((q, width), -1, np.int64)
-    nodes[:, : len(entry)] = entry
-    dist = np.full((q, width), np.inf, np.float32)
     square = (points**2).sum(axis=1)
+    nodes = np.full((q, width), n, np.int32)
+    dist = np.full((q, width), np.inf, np.float32)
+    nodes[:, : len(entry)] = entry
     dist[:, : len(entry)] = square[entry] - 2 * queries @ points[entry].T
-    order = np.argsort(dist, axis=1)[:, :beam]
-    nodes, dist = np.take_along_axis(nodes, order, 1), np.take_along_axis(dist, order, 1)
-    done = nodes < 0
-    seen = np.zeros((q, n + 1), bool)
-    row = np.arange(q)[:, None]
-    seen[row, nodes] = True
+    if width > beam:
+        best = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+        nodes, dist = np.take_along_axis(nodes, best, 1), np.take_along_axis(dist, best, 1)
+    open_ = dist.copy()  # as dist, but infinite once expanded
+    # which place of a step first reached a node; node n stands for none
+    reached = np.zeros((q, n + 1), np.int16)
+    reached[np.arange(q)[:, None], nodes] = 1
+    reached[:, n] = 1
+    place = np.arange(1, expand * edges.shape[1] + 1, dtype=np.int16)[None, :]
     visited: list[np.ndarray] = []
     live = np.arange(q)
-    while True:
-        live = live[~done[live].all(axis=1)]
-        if not len(live):
-            break
-        at = np.argmin(done[live], axis=1)  # rows are sorted: the first free place is the nearest
-        here = nodes[live, at]
-        done[live, at] = True
-        step = np.full(q, -1, np.int64)
-        step[live] = here
+    while len(live):
+        own = open_[live]
+        at = np.argpartition(own, expand - 1, axis=1)[:, :expand]
+        row = np.arange(len(live))[:, None]
+        here = np.where(np.isfinite(own[row, at]), nodes[live[:, None], at], n)
+        open_[live[:, None], at] = np.inf
+        step = np.full((q, expand), -1, np.int64)
+        step[live] = np.where(here < n, here, -1)
         visited.append(step)
-        near = edges[here]
-        new = (near >= 0) & ~seen[live[:, None], near]
-        near = np.where(new, near, -1)
-        seen[live[:, None], near] = True
-        seen[:, n] = False  # where the -1 of free edges point
-        far = square[near] - 2 * np.einsum("qrd,qd->qr", points[near], queries[live])
-        far = np.where(new, far, np.inf).astype(np.float32)
-        all_nodes = np.concatenate([nodes[live], near], axis=1)
+        near = edges[np.minimum(here, n - 1)]
+        near = np.where((here < n)[:, :, None] & (near >= 0), near, n).reshape(len(live), -1)
+        near = np.where(reached[live[:, None], near] == 0, near, n)
+        reached[live[:, None], near] = np.broadcast_to(place, near.shape)
+        i, j = np.nonzero((reached[live[:, None], near] == place) & (near < n))
+        reached[:, n] = 1
+        new = near[i, j]
+        far = np.full(near.shape, np.inf, np.float32)
+        far[i, j] = square[new] - 2 * np.einsum("id,id->i", points[new], queries[live[i]])
         all_dist = np.concatenate([dist[live], far], axis=1)
-        all_done = np.concatenate([done[live], ~new], axis=1)
-        order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
-        nodes[live] = np.take_along_axis(all_nodes, order, 1)
-        dist[live] = np.take_along_axis(all_dist, order, 1)
-        done[live] = np.take_along_axis(all_done, order, 1)
-    return nodes, np.stack(visited, axis=1) if visited else np.full((q, 0), -1)
+        best = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
+        dist[live] = np.take_along_axis(all_dist, best, 1)
+        nodes[live] = np.take_along_axis(np.concatenate([nodes[live], near], axis=1), best, 1)
+        left = np.take_along_axis(np.concatenate([open_[live], far], axis=1), best, 1)
+        open_[live] = left
+        live = live[np.isfinite(left).any(axis=1)]
+    order = np.argsort(dist, axis=1, kind="stable")
+    nodes = np.take_along_axis(np.where(np.isfinite(dist), nodes, -1), order, 1).astype(np.int64)
+    return nodes, np.concatenate(visited, axis=1) if visited else np.full((q, 0), -1)
 
 
 def robust_prune(points: np.ndarray, own: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -80,7 +90,7 @@ def robust_prune(points: np.ndarray, own: np.ndarray, pool: np.ndarray, degree:
     The nearest candidate is kept, and drops each other one that is nearer to it, by a factor of
     alpha, than to the node itself; then the nearest that is left, and so on.
     """
-    edges = np.full((len(own), degree), -1, np.int64)
+    edges = np.full((len(own), degree), -1, np.int32)
     for lo in range(0, len(own), 256):
         _prune_some(points, own[lo : lo + 256], np.sort(pool[lo : lo + 256], axis=1), edges[lo : lo + 256], alpha)
     return edges
@@ -90,9 +100,8 @@ def _prune_some(points: np.ndarray, own: np.ndarray, pool: np.ndarray, edges: np
     bad = (pool < 0) | (pool == own[:, None])
     bad[:, 1:] |= pool[:, 1:] == pool[:, :-1]
     flat = points[pool] - points[own][:, None, :]
-    dist = (flat**2).sum(axis=2)
-    between = dist[:, :, None] + dist[:, None, :] - 2 * (flat @ flat.transpose(0, 2, 1))
-    between *= alpha * alpha
+    dist = np.einsum("npd,npd->np", flat, flat)
+    dot = flat @ flat.transpose(0, 2, 1)
     row = np.arange(len(own))
     alive = np.where(bad, np.inf, dist)
     for k in range(edges.shape[1]):
@@ -101,46 +110,40 @@ def _prune_some(points: np.ndarray, own: np.ndarray, pool: np.ndarray, edges: np
         if not ok.any():
             break
         edges[ok, k] = pool[row, at][ok]
-        alive[(between[row, at] <= dist) & ok[:, None]] = np.inf
+        between = dist[row, at][:, None] + dist - 2 * dot[row, at]
+        alive[alpha * alpha * between <= dist] = np.inf
         alive[row, at] = np.inf
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(points: np.ndarray, degree: int = DEGREE, slack: int = SLACK, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Edges (-1: none) and entry nodes of a shard's graph.
 
-    Nodes are added in batches of growing size: a greedy search over the graph so far proposes what
-    it passed, pruning picks the out-edges, and every edge is offered in reverse. A second round over
-    all nodes follows.
+    Nodes are added in batches of growing size: a greedy search over the graph so far proposes its beam,
+    pruning picks the out-edges, and every edge is offered in reverse. A node takes reverse edges
+    beyond ``degree`` until ``slack`` places more are full, and is pruned then, so few are pruned often.
     """
     n = len(points)
-    edges = np.full((n, degree), -1, np.int64)
-    random = np.random.default_rng(seed)
-    order = random.permutation(n)
+    edges = np.full((n, degree + slack), -1, np.int32)
+    order = np.random.default_rng(seed).permutation(n)
     centre = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else 0
     entry = np.unique(np.r_[centre, order[: min(n, 8)]])
-    edges[entry] = robust_prune(points, entry, np.tile(entry, (len(entry), 1)), degree, alpha)
+    edges[entry, :degree] = robust_prune(points, entry, np.tile(entry, (len(entry), 1)), degree, alpha)
     rest = order[~np.isin(order, entry)]
-    batches, at, size = [], 0, 8
+    at, size = 0, 8
     while at < len(rest):
-        batches.append(rest[at : at + size])
-        at += size
-        size = min(size * 2, 512)
-    again = [order[i : i + 512] for i in range(0, n, 512)] if n > 16 else []
-    for own in batches + again:
-        found, passed = beam_search(points, edges, entry, points[own], beam)
-        pool = np.concatenate([found, passed, edges[own]], axis=1)
-        if pool.shape[1] > 160:  # the nearest of what was passed; the search ran towards them
-            gap = np.where(pool < 0, np.inf, ((points[pool] - points[own][:, None, :]) ** 2).sum(axis=2))
-            pool = np.take_along_axis(pool, np.argpartition(gap, 159, axis=1)[:, :160], 1)
-        edges[own] = robust_prune(points, own, pool, degree, alpha)
+        own = rest[at : at + size]
+        found, _ = beam_search(points, edges, entry, points[own], beam)
+        edges[own, :degree] = robust_prune(points, own, found, degree, alpha)
         _offer_back(points, edges, own, degree, alpha)
+        at += size
+        size = min(size * 2, STEP)
     return edges, entry
 
 
 def _offer_back(points: np.ndarray, edges: np.ndarray, own: np.ndarray, degree: int, alpha: float) -> None:
-    """Adds each edge in reverse; a node with no place left is pruned again."""
-    source = np.repeat(own, degree)
-    target = edges[own].ravel()
+    """Adds each edge in reverse; a node with no place left is pruned."""
+    most = edges.shape[1]
+    source, target = np.repeat(own, most), edges[own].ravel()
     source, target = source[target >= 0], target[target >= 0]
     by = np.argsort(target, kind="stable")
     source, target = source[by], target[by]
@@ -152,19 +155,21 @@ def _offer_back(points: np.ndarray, edges: np.ndarray, own: np.ndarray, degree:
     for lo in range(0, int(sizes.max()), 2 * degree):  # a node that many point to takes them in portions
         part = (rank >= lo) & (rank < lo + 2 * degree)
         nodes, row = np.unique(target[part], return_inverse=True)
-        pool = np.full((len(nodes), 3 * degree), -1, np.int64)
-        pool[:, :degree] = edges[nodes]
-        pool[row, degree + rank[part] - lo] = source[part]
+        pool = np.full((len(nodes), most + 2 * degree), -1, np.int32)
+        pool[:, :most] = edges[nodes]
+        pool[row, most + rank[part] - lo] = source[part]
         ordered = np.sort(pool, axis=1)
         fresh = (ordered >= 0) & (ordered != nodes[:, None])
         fresh[:, 1:] &= ordered[:, 1:] != ordered[:, :-1]
-        fits = fresh.sum(axis=1) <= degree
-        packed = np.take_along_axis(np.where(fresh, ordered, -1), np.argsort(~fresh, axis=1, kind="stable"), 1)[:, :degree]
-        edges[nodes[fits]] = packed[fits]
+        packed = np.take_along_axis(np.where(fresh, ordered, -1), np.argsort(~fresh, axis=1, kind="stable"), 1)
+        count = fresh.sum(axis=1)
+        fits = count <= most
+        edges[nodes[fits]] = packed[fits, :most]
         full = np.flatnonzero(~fits)
         for i in range(0, len(full), 1024):
             some = full[i : i + 1024]
-            edges[nodes[some]] = robust_prune(points, nodes[some], pool[some], degree, alpha)
+            edges[nodes[some]] = -1
+            edges[nodes[some], :degree] = robust_prune(points, nodes[some], packed[some, : int(count[some].max())], degree, alpha)
 
 
 class ShardIndex:
@@ -180,7 +185,7 @@ class ShardIndex:
         heads = np.flatnonzero(np.r_[True, node[by][1:] != node[by][:-1]])
         sizes = np.diff(np.r_[heads, len(by)])
         # of equal vectors, those after the first `keep` ids can be nobody's neighbours
-        self.members = [ids[by[a : a + min(s, keep)]] for a, s in zip(heads, sizes)]
+        self.members = [ids[by[a : a + 1]] if s == 1 else np.unique(ids[by[a : a + s]])[:keep] for a, s in zip(heads, sizes)]
         scale = float(np.sqrt((self.vectors**2).sum(axis=1).max(initial=0.0))) or 1.0
         self.points = lifted(self.vectors / scale)
         self.edges, self.entry = build_graph(self.points)
@@ -198,7 +203,9 @@ class ShardIndex:
             scores = np.repeat(score, [len(o) for o in own])
             other = ids != qid
             ids, scores = ids[other], scores[other]
-            best = np.lexsort((ids, -scores))[:k]
+            best = np.lexsort((ids, -scores))
+            # of rows that share an id, the best
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]
             yield np.full(len(best), qid), ids[best], scores[best]
 
 
@@ -224,6 +231,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
     in blocks of queries. Vectors that are null, empty, zero, or hold null or non-finite numbers take no
     part, nor do rows with a null id; only vectors of one dimension are compared. Of rows that
     repeat an id, each is a vector, and the id's best score counts.
+
+    Every query meets every shard, so work and shuffle grow with queries times shards: shards are as large
+    as a task's memory allows (65,536 vectors of 64 numbers and their graph take some 80 MB), which
+    keeps them few, and a search grows far slower than its shard. Shards are built side by side, a partition each.
     """
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
@@ -236,7 +247,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
     spark = vectors.sparkSession
     plan = spark.createDataFrame([(d, -(-n // shard), -(-asks[d] // BLOCK)) for d, n in counts.items() if d in asks], "dim int, shards long, blocks long")
     dealt = rows.join(plan, "dim").select("dim", F.pmod(F.xxhash64("vec_id"), "shards").alias("shard"), "vec_id", "v")
-    index = written(dealt.groupBy("dim", "shard").applyInArrow(_building(k + 1), "dim int, shard long, index binary"), "graphs")
+    # a number of partitions of its own keeps small shards from being put into one task
+    parts = max(1, 4 * sum(-(-n // shard) for d, n in counts.items() if d in asks))
+    index = written(dealt.repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(_building(k + 1), "dim int, shard long, index binary"), "graphs")
     series = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     copies = index.join(plan, "dim").select("dim", "shard", "index", series("blocks").alias("block"))
     sent = asked.join(plan, "dim").select("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").alias("block"), "vec_id", "v", series("shards").alias("shard"))
@@ -246,8 +259,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
         if left.num_rows and right.num_rows:
             graph = pickle.loads(left.column("index")[0].as_py())
             ids, vecs = right.column("vec_id").to_numpy(), _matrix(right)
-            for lo in range(0, len(ids), 512):
-                out += graph.search(ids[lo : lo + 512], vecs[lo : lo + 512], k, beam)
+            for lo in range(0, len(ids), STEP):
+                out += graph.search(ids[lo : lo + STEP], vecs[lo : lo + STEP], k, beam)
         q, i, s = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": q.astype(np.int64), "vec_id": i.astype(np.int64), "score": s})
 
