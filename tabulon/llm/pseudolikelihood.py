@@ -19,6 +19,8 @@ IDS = WORDS + SHARED
 MEMBERS = IDS // CLASSES
 #: Words of a training shard, words whose places are mixed together, and numbers of a network sent as one piece.
 PLACES, RUN, PIECE = 1 << 21, 1 << 16, 1 << 14
+#: Bytes of text that are cut into words at once: numpy's arrays for them take some forty times that.
+BLOCK = 1 << 20
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
 
@@ -153,7 +155,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n): how often each word, by hash, stands in all the texts."""
 
     def run(batches):
-        for batch in byte_batches(batches, 8 << 20):
+        for batch in byte_batches(batches, BLOCK):
             data, bounds = binary_values(batch.column(0))
             start, end, _ = word_spans(data, bounds)
             h, n = np.unique(word_hashes(data, start, end, fold=True).view(np.int64), return_counts=True)
@@ -195,7 +197,7 @@ def shard_ids(rows: DataFrame, vocabulary: np.ndarray, rank: np.ndarray, shards:
     shared = rows.sparkSession.sparkContext.broadcast((vocabulary, rank))
 
     def run(batches):
-        for part in byte_batches(batches, 4 << 20):
+        for part in byte_batches(batches, BLOCK):
             text, ids, _ = word_ids(*binary_values(part.column(1)), *shared.value)
             cut = np.searchsorted(text, np.arange(part.num_rows + 1)) * 2
             raw = pa.py_buffer(ids.astype("<u2").tobytes())
@@ -291,7 +293,7 @@ def log_likelihoods(model: Model, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         vocabulary, rank, net, sizes = shared.value
-        for part in byte_batches(batches, 2 << 20):
+        for part in byte_batches(batches, BLOCK):
             rid = part.column(0).to_numpy()
             where, ids, h = word_ids(*binary_values(part.column(1)), vocabulary, rank)
             value = log_probabilities(net, surroundings(where, ids), ids)
