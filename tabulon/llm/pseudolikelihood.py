@@ -59,9 +59,9 @@ def word_ids(data: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray, rank:
 
 
 def surroundings(text: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each word, the ids at each offset in its own text (IDS beyond its ends)."""
+    """For each word, the ids at each offset in its own text (IDS beyond its ends), as 16-bit numbers."""
     n = len(ids)
-    out = np.full((len(OFFSETS), n), IDS, np.int64)
+    out = np.full((len(OFFSETS), n), IDS, np.uint16)
     for row, o in zip(out, OFFSETS):
         a, b = max(0, -o), n - max(0, o)
         if b > a:
@@ -70,34 +70,52 @@ def surroundings(text: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _hidden(net: Net, around: np.ndarray) -> np.ndarray:
-    total = net.context[0][around[0]]
+    total = net.context[0].take(around[0], axis=0)
     for k in range(1, len(OFFSETS)):
-        total += net.context[k][around[k]]
-    return np.tanh(total + net.shift)
+        total += net.context[k].take(around[k], axis=0)
+    total += net.shift
+    return np.tanh(total, out=total)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns rows of scores, in place, into exponentials; also the sum of each row, and what was taken off before."""
+    top = z.max(axis=1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return z.sum(axis=1), top
 
 
-def log_probabilities(net: Net, around: np.ndarray, ids: np.ndarray, step: int = 32768) -> np.ndarray:
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of places by the class of their words, and where each class begins in it."""
+    kind = (ids % CLASSES).astype(np.uint8)
+    return np.argsort(kind, kind="stable"), np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES))]
+
+
+def _scores(net: Net, h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all classes, and of all words of a place's own class; the places of a class are a slice."""
+    kinds = h @ net.classes
+    kinds += net.class_shift
+    words = np.empty((len(h), MEMBERS), h.dtype)
+    for c in np.flatnonzero(np.diff(cuts)):
+        own = words[cuts[c] : cuts[c + 1]]
+        np.matmul(h[cuts[c] : cuts[c + 1]], net.members[c], out=own)
+        own += net.member_shift[c]
+    return kinds, words
+
+
+def log_probabilities(net: Net, around: np.ndarray, ids: np.ndarray, step: int = 8192) -> np.ndarray:
     """Log of each word's probability given both sides: its class, then the word within its class."""
     out = np.empty(len(ids))
     for lo in range(0, len(ids), step):
-        own = ids[lo : lo + step]
-        h = _hidden(net, around[:, lo : lo + step])
-        kind, member = own % CLASSES, own // CLASSES
-        row = np.arange(len(own))
-        score = _log_softmax(h @ net.classes + net.class_shift)[row, kind].astype(float)
-        by = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[by], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            some = by[cuts[c] : cuts[c + 1]]
-            if len(some):
-                score[some] += _log_softmax(h[some] @ net.members[c] + net.member_shift[c])[np.arange(len(some)), member[some]]
-        out[lo : lo + step] = score
+        by, cuts = _by_class(ids[lo : lo + step])
+        by += lo
+        own, row = ids[by], np.arange(len(by))
+        kinds, words = _scores(net, _hidden(net, around[:, by]), cuts)
+        score = kinds[row, own % CLASSES].astype(float) + words[row, own // CLASSES]
+        for z in (kinds, words):
+            total, top = _softmax(z)
+            score -= top + np.log(total)
+        out[by] = score
     return out
 
 
@@ -114,40 +132,39 @@ class Trainer:
         self.net.parts()[k][...] -= self.rate * slope / np.sqrt(self.seen[k])
 
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
+        """One step on a batch, whose places are taken class by class so that each class is a slice."""
         net, n = self.net, len(ids)
+        by, cuts = _by_class(ids)
+        around, ids = around[:, by], ids[by]
         h = _hidden(net, around)
-        kind, member = ids % CLASSES, ids // CLASSES
         row = np.arange(n)
-        d = np.exp(_log_softmax(h @ net.classes + net.class_shift))
-        d[row, kind] -= 1
-        d /= n
+        d, e = _scores(net, h, cuts)
+        some = np.flatnonzero(np.diff(cuts))
+        for z, own in ((d, ids % CLASSES), (e, ids // CLASSES)):
+            total, _ = _softmax(z)
+            z *= (1 / (total * n))[:, None]
+            z[row, own] -= 1 / n
         back = d @ net.classes.T
-        grad_c, grad_cs = h.T @ d, d.sum(axis=0)
-        by = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[by], np.arange(CLASSES + 1))
-        for c in np.unique(kind):
-            some = by[cuts[c] : cuts[c + 1]]
-            e = np.exp(_log_softmax(h[some] @ net.members[c] + net.member_shift[c]))
-            e[np.arange(len(some)), member[some]] -= 1
-            e /= n
-            back[some] += e @ net.members[c].T
-            grad = h[some].T @ e
-            self.seen[4][c] += (grad * grad).mean(axis=1)
-            net.members[c] -= self.rate * grad / np.sqrt(self.seen[4][c])[:, None]
-            slope = e.sum(axis=0)
-            self.seen[5][c] += slope * slope
-            net.member_shift[c] -= self.rate * slope / np.sqrt(self.seen[5][c])
-        self._move(2, grad_c)
-        self._move(3, grad_cs)
+        grad = np.empty((len(some), HIDDEN, MEMBERS), h.dtype)
+        for g, c in zip(grad, some):
+            a, b = cuts[c], cuts[c + 1]
+            back[a:b] += e[a:b] @ net.members[c].T
+            np.matmul(h[a:b].T, e[a:b], out=g)
+        self.seen[4][some] += np.einsum("chm,chm->ch", grad, grad) / MEMBERS
+        grad *= (self.rate / np.sqrt(self.seen[4][some]))[:, :, None]
+        net.members[some] -= grad
+        slope = np.add.reduceat(e, cuts[some], axis=0)
+        self.seen[5][some] += slope * slope
+        net.member_shift[some] -= self.rate * slope / np.sqrt(self.seen[5][some])
+        self._move(2, h.T @ d)
+        self._move(3, d.sum(axis=0))
         back *= 1 - h * h
         self._move(1, back.sum(axis=0))
+        columns = np.ascontiguousarray(back.T)
         for k in range(len(OFFSETS)):
-            order = np.argsort(around[k], kind="stable")
-            at = around[k][order]
-            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            total = np.add.reduceat(back[order], heads, axis=0)
-            at = at[heads]
-            self.seen[0][k, at] += (total * total).mean(axis=1)
+            at = np.flatnonzero(np.bincount(around[k], minlength=IDS + 1))
+            total = np.stack([np.bincount(around[k], column, IDS + 1)[at] for column in columns], axis=1).astype(back.dtype)
+            self.seen[0][k, at] += np.einsum("ph,ph->p", total, total) / HIDDEN
             net.context[k, at] -= self.rate * total / np.sqrt(self.seen[0][k, at])[:, None]
 
 
