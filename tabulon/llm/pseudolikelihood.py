@@ -296,6 +296,8 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1
             piece = np.frombuffer(row["piece"], np.float32).astype(float)
             parts[row["k"]][row["lo"] : row["lo"] + len(piece)] = piece / max(row["places"], 1)
         net = Net(*(p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.parts())))
+        del pieces
+        released(spark)
     return Model(vocabulary, rank, net, counts, shared_counts)
 
 
