@@ -19,6 +19,8 @@ IDS = WORDS + SHARED
 MEMBERS = IDS // CLASSES
 #: Words of a training shard, words whose places are mixed together, and numbers of a network sent as one piece.
 PLACES, RUN, PIECE = 1 << 21, 1 << 16, 1 << 14
+#: Words whose full counts every task holds at most (16 bytes each), and steps of a doubling in which counts are ranked for that.
+LISTED, STEPS = 1 << 19, 8
 #: Bytes of text that are cut into words at once: numpy's arrays for them take some forty times that.
 BLOCK = 1 << 20
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -202,6 +204,9 @@ class Model:
     net: Net
     counts: DataFrame
     shared: np.ndarray
+    #: Sorted hashes of the words most often counted, and the logarithms of their counts.
+    listed: np.ndarray
+    listed_log: np.ndarray
 
 
 def shared_id(h: str = "h") -> Column:
@@ -209,6 +214,26 @@ def shared_id(h: str = "h") -> Column:
     return F.col(h).bitwiseAND(F.lit(SHARED - 1)).cast("int")
 
 
+def listed_counts(counts: DataFrame, most: int = LISTED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent words, at most ``most``: those above a count that a histogram gives.
+
+    The histogram has a few hundred rows however many words there are, as it ranks counts by powers of two and steps between.
+    """
+    step = F.floor(F.log2("n") * STEPS)
+    held, least = 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["step"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(step >= least).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found.column("n").to_numpy()[order]
+
+
 def shard_ids(rows: DataFrame, vocabulary: np.ndarray, rank: np.ndarray, shards: int) -> DataFrame:
     """``rows`` (rid, text) to a written table (shard, rid, ids): 16-bit ids of all words, dealt to shards by hash of rid."""
     shared = rows.sparkSession.sparkContext.broadcast((vocabulary, rank))
@@ -246,14 +271,14 @@ def train_shard(start: Net, rid: np.ndarray, texts: list[np.ndarray], turn: int,
     return trainer.net, places
 
 
-def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1, places: int = PLACES) -> Model:
+def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1, places: int = PLACES, listed: int = LISTED) -> Model:
     """Counts the words of all texts, then trains on every place of every text, each in one of the rounds.
 
     Texts are dealt by hash to shards of about ``places`` words, which depend on nothing but the corpus. In each
     round every shard trains the common network on its texts, one after another; the shards' parameters are
     averaged by the places they saw, on the executors and in the order of shards, and become the next
     round's network, so reruns agree however the corpus is stored. What is trained on and sent grows with the
-    corpus; what reaches the driver is one network.
+    corpus; what reaches the driver is one network and the counts of at most ``listed`` words.
     """
     spark = docs.sparkSession
     counts = written(word_counts(docs), "words")
@@ -298,26 +323,32 @@ def train(docs: DataFrame, rounds: int = 2, batch: int = 4096, rate: float = 0.1
         net = Net(*(p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.parts())))
         del pieces
         released(spark)
-    return Model(vocabulary, rank, net, counts, shared_counts)
+    frequent, n = listed_counts(counts, listed)
+    return Model(vocabulary, rank, net, counts, shared_counts, frequent, np.log(n))
 
 
 def log_likelihoods(model: Model, docs: DataFrame) -> DataFrame:
     """``docs`` (rid, a unique long, and text) to (rid, n_words, log_likelihood); 0 for texts without words.
 
-    One pass gives a row per text, with all that the network tells, and a row per different word of a
-    shared id in it. The latter meet the full counts by the word's hash: no such word is more frequent
-    than the least of the vocabulary, so no key is hot.
+    One pass gives a row per text, with all that the network and the listed counts tell, and a row per different
+    word of a shared id in it that is not listed. The latter meet the full counts by the word's hash: no such
+    word is more frequent than the least of those listed, so no key is hot.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.rank, model.net, np.log(model.shared + 1.0)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.rank, model.net, np.log(model.shared + 1.0), model.listed, model.listed_log))
 
     def run(batches):
-        vocabulary, rank, net, sizes = shared.value
+        vocabulary, rank, net, sizes, listed, listed_log = shared.value
         for part in byte_batches(batches, BLOCK):
             rid = part.column(0).to_numpy()
             where, ids, h = word_ids(*binary_values(part.column(1)), vocabulary, rank)
             value = log_probabilities(net, surroundings(where, ids), ids)
             rare = np.flatnonzero(ids >= WORDS)
             value[rare] -= sizes[ids[rare] - WORDS]
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, h[rare]), len(listed) - 1)
+                found = listed[at] == h[rare]
+                value[rare[found]] += listed_log[at[found]]
+                rare = rare[~found]
             whole = np.bincount(where, minlength=part.num_rows), np.bincount(where, value, part.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(mixed(rid.view(np.uint64)).view(np.int64)), pa.array(np.zeros(len(rid), bool)), pa.array(whole[0], pa.int64()), pa.array(whole[1])], names=names)
             rare = rare[np.lexsort((h[rare], where[rare]))]

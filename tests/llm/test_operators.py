@@ -4,6 +4,7 @@ empty tables and clashing column names."""
 import hashlib
 import re
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -510,6 +511,14 @@ def test_pseudo_likelihood_tells_words_of_a_shared_id_apart(spark):
     for x in alone.values():
         assert x == pytest.approx([x[0]] * len(x), rel=1e-6)
     assert len({round(got[w], 6) for w in some}) > len(alone)
+    # the same scores, whether counts are listed with every task or met by shuffle
+    n = sorted(count.values(), reverse=True)
+    for most in (0, 500, 5000):
+        h, found = pseudolikelihood.listed_counts(model.counts, most)
+        assert len(h) <= most and sorted(found.tolist(), reverse=True) == n[: len(h)] and (h[1:] > h[:-1]).all()
+        assert most < 500 or len(h)
+        met = pseudolikelihood.scored(test, replace(model, listed=h, listed_log=np.log(found))).collect()
+        assert {some[r["doc_id"]]: r["log_likelihood"] for r in met} == pytest.approx(got, rel=1e-9)
 
 
 def test_pseudo_likelihood_trains_on_every_place(spark):
