@@ -21,6 +21,8 @@ MEMBERS = IDS // CLASSES
 PLACES, RUN, PIECE = 1 << 21, 1 << 16, 1 << 14
 #: Words whose full counts every task holds at most (16 bytes each), and steps of a doubling in which counts are ranked for that.
 LISTED, STEPS = 1 << 19, 8
+#: Scores whose exponentials, and sums of them, are far from the ends of a 32-bit float.
+SAFE = 60.0
 #: Bytes of text that are cut into words at once: numpy's arrays for them take some forty times that.
 BLOCK = 1 << 20
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -79,12 +81,22 @@ def _hidden(net: Net, around: np.ndarray) -> np.ndarray:
     return np.tanh(total, out=total)
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns rows of scores, in place, into exponentials; also the sum of each row, and what was taken off before."""
-    top = z.max(axis=1)
-    z -= top[:, None]
+def _reach(weights: np.ndarray, shift: np.ndarray) -> float:
+    """What no score exceeds in size, as hidden values lie between -1 and 1."""
+    return float((np.abs(weights).sum(axis=-2) + np.abs(shift)).max())
+
+
+def _exponentials(z: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turns rows of scores, in place, into exponentials; also the sum of each row, and what was taken off before.
+
+    Scores of at most SAFE in size are exponentials as they are; from larger ones the row's largest is taken off.
+    """
+    top = 0.0
+    if not reach <= SAFE:
+        top = z.max(axis=1)
+        z -= top[:, None]
     np.exp(z, out=z)
-    return z.sum(axis=1), top
+    return z @ np.ones(z.shape[1], z.dtype), top
 
 
 def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +120,15 @@ def _scores(net: Net, h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.n
 def log_probabilities(net: Net, around: np.ndarray, ids: np.ndarray, step: int = 8192) -> np.ndarray:
     """Log of each word's probability given both sides: its class, then the word within its class."""
     out = np.empty(len(ids))
+    reach = _reach(net.classes, net.class_shift), _reach(net.members, net.member_shift)
     for lo in range(0, len(ids), step):
         by, cuts = _by_class(ids[lo : lo + step])
         by += lo
         own, row = ids[by], np.arange(len(by))
         kinds, words = _scores(net, _hidden(net, around[:, by]), cuts)
         score = kinds[row, own % CLASSES].astype(float) + words[row, own // CLASSES]
-        for z in (kinds, words):
-            total, top = _softmax(z)
+        for z, most in zip((kinds, words), reach):
+            total, top = _exponentials(z, most)
             score -= top + np.log(total)
         out[by] = score
     return out
@@ -138,38 +151,54 @@ class Trainer:
         net, n = self.net, len(ids)
         by, cuts = _by_class(ids)
         around, ids = around[:, by], ids[by]
-        h = _hidden(net, around)
+        h = np.ones((n, HIDDEN + 1), net.shift.dtype)  # a last column of ones, whose slopes are those of the shifts
+        h[:, :HIDDEN] = _hidden(net, around)
         row = np.arange(n)
-        d, e = _scores(net, h, cuts)
+        d, e = _scores(net, np.ascontiguousarray(h[:, :HIDDEN]), cuts)
         some = np.flatnonzero(np.diff(cuts))
-        for z, own in ((d, ids % CLASSES), (e, ids // CLASSES)):
-            total, _ = _softmax(z)
-            z *= (1 / (total * n))[:, None]
-            z[row, own] -= 1 / n
-        back = d @ net.classes.T
-        grad = np.empty((len(some), HIDDEN, MEMBERS), h.dtype)
+        # rows of d and e are slopes times what is in scale: numbers of hidden units are fewer to multiply
+        scale = []
+        for z, own, most in ((d, ids % CLASSES, _reach(net.classes, net.class_shift)), (e, ids // CLASSES, _reach(net.members, net.member_shift))):
+            total, _ = _exponentials(z, most)
+            z[row, own] -= total
+            scale.append((1 / (total * n))[:, None])
+        back = np.empty((n, HIDDEN), h.dtype)
+        grad = np.empty((len(some), HIDDEN + 1, MEMBERS), h.dtype)
+        scaled = h * scale[1]
         for g, c in zip(grad, some):
             a, b = cuts[c], cuts[c + 1]
-            back[a:b] += e[a:b] @ net.members[c].T
-            np.matmul(h[a:b].T, e[a:b], out=g)
+            np.matmul(e[a:b], net.members[c].T, out=back[a:b])
+            np.matmul(scaled[a:b].T, e[a:b], out=g)
+        back *= scale[1]
+        back += (d @ net.classes.T) * scale[0]
+        grad, slope = grad[:, :HIDDEN], grad[:, HIDDEN]
         self.seen[4][some] += np.einsum("chm,chm->ch", grad, grad) / MEMBERS
         grad *= (self.rate / np.sqrt(self.seen[4][some]))[:, :, None]
         net.members[some] -= grad
-        slope = np.add.reduceat(e, cuts[some], axis=0)
         self.seen[5][some] += slope * slope
         net.member_shift[some] -= self.rate * slope / np.sqrt(self.seen[5][some])
-        self._move(2, h.T @ d)
-        self._move(3, d.sum(axis=0))
-        back *= 1 - h * h
+        slope = (h * scale[0]).T @ d
+        self._move(2, slope[:HIDDEN])
+        self._move(3, slope[HIDDEN])
+        back *= 1 - h[:, :HIDDEN] ** 2
         self._move(1, back.sum(axis=0))
-        columns = np.ascontiguousarray(back.T)
+        columns = back.T.astype(float)
         for k in range(len(OFFSETS)):
-            at = np.flatnonzero(np.bincount(around[k], minlength=IDS + 1))
-            total = np.stack([np.bincount(around[k], column, IDS + 1)[at] for column in columns], axis=1).astype(back.dtype)
+            at, where = _places(around[k])
+            total = np.stack([np.bincount(where, column, len(at)) for column in columns], axis=1).astype(back.dtype)
             self.seen[0][k, at] += np.einsum("ph,ph->p", total, total) / HIDDEN
             net.context[k, at] -= self.rate * total / np.sqrt(self.seen[0][k, at])[:, None]
 
 
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, sorted, and the place of each id among them; without sorting."""
+    number = np.zeros(IDS + 1, np.int64)
+    number[ids] = 1
+    at = np.flatnonzero(number)
+    number[at] = np.arange(len(at))
+    return at, number[ids]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n): how often each word, by hash, stands in all the texts."""
 
