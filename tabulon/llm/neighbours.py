@@ -15,7 +15,7 @@ from .common import table, written
 SHARD, BLOCK = 1 << 16, 1 << 14
 #: Out-edges that pruning leaves, places more that reverse edges may fill before it, beams of building and of
 #: searching, nodes expanded in one step of a search, nodes added in one step of building, relaxation.
-DEGREE, SLACK, BUILD_BEAM, SEARCH_BEAM, EXPAND, STEP, ALPHA = 28, 16, 40, 288, 4, 256, 1.2
+DEGREE, SLACK, BUILD_BEAM, SEARCH_BEAM, EXPAND, STEP, ALPHA = 28, 16, 48, 288, 4, 256, 1.4
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -137,7 +137,33 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, slack: int = SLACK, be
         _offer_back(points, edges, own, degree, alpha)
         at += size
         size = min(size * 2, STEP)
-    return edges, entry
+    return _all_reached(points, edges, entry, beam), entry
+
+
+def _all_reached(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
+    """The edges, and one more to each node that no path from the entries meets: from the nearest node found that has a place left.
+
+    Where none has, all nodes get a place more.
+    """
+    met = np.zeros(len(points), bool)
+    front = entry
+    while len(front):
+        met[front] = True
+        near = np.unique(edges[front])
+        near = near[near >= 0]
+        front = near[~met[near]]
+    lost = np.flatnonzero(~met)
+    for lo in range(0, len(lost), STEP):
+        own = lost[lo : lo + STEP]
+        found, _ = beam_search(points, edges, entry, points[own], beam)
+        for node, near in zip(own, found):
+            near = near[near >= 0]
+            free = near[edges[near, -1] < 0]
+            if not len(free):
+                edges = np.pad(edges, ((0, 0), (0, 1)), constant_values=-1)
+                free = near
+            edges[free[0], np.argmax(edges[free[0]] < 0)] = node
+    return edges
 
 
 def _offer_back(points: np.ndarray, edges: np.ndarray, own: np.ndarray, degree: int, alpha: float) -> None:

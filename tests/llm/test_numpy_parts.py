@@ -207,6 +207,21 @@ def test_graph_recall(n):
     assert total == 0 or hits / total >= 0.9
 
 
+@pytest.mark.parametrize("degree, slack", [(3, 0), (6, 2), (28, 16)])
+def test_every_node_of_a_graph_can_be_reached(degree, slack):
+    random = np.random.default_rng(8)
+    points = random.normal(size=(1500, 6)).astype(np.float32)
+    points[:700] *= 0.01  # a dense middle, whose nodes push one another out
+    edges, entry = neighbours.build_graph(points, degree, slack)
+    met, front = set(entry.tolist()), entry.tolist()
+    while front:
+        near = {int(e) for node in front for e in edges[node] if e >= 0}
+        front = list(near - met)
+        met |= near
+    assert met == set(range(1500))
+    assert all(len(set(own[own >= 0].tolist())) == (own >= 0).sum() and node not in own for node, own in enumerate(edges))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_classifier_parts_agree_on_empty_input():
     from tabulon.llm import quality, toxicity
