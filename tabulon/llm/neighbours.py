@@ -158,6 +158,8 @@ def _all_reached(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, beam:
         found, _ = beam_search(points, edges, entry, points[own], beam)
         for node, near in zip(own, found):
             near = near[near >= 0]
+            if node in near:  # an edge given to another node has opened a path
+                continue
             free = near[edges[near, -1] < 0]
             if not len(free):
                 edges = np.pad(edges, ((0, 0), (0, 1)), constant_values=-1)
